@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import near_text
+from . import near_text, near_vectors
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_near_dedup": near_vectors.op1,
         "op5_minhash_near_dedup": near_text.op5,
     }
 
