@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import near_text, near_vectors
+from . import byte_bpe, media_avi, near_text, near_vectors
 
 
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": near_vectors.op1,
         "op5_minhash_near_dedup": near_text.op5,
+        "op6_byte_bpe": byte_bpe.op6,
+        "op10_media_avi": media_avi.op10,
     }
 
 
