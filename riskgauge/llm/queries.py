@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, licenses, media_avi, near_text, near_vectors, urls
+from . import byte_bpe, chat, language, licenses, media_avi, near_text, near_vectors, quality, urls
 
 
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": near_vectors.op1,
+        "op2_language_id": language.op2,
         "op3_license_scans": licenses.op3,
         "op5_minhash_near_dedup": near_text.op5,
         "op6_byte_bpe": byte_bpe.op6,
+        "op7_quality_classifier": quality.op7,
         "op8_url_filters": urls.op8,
         "op9_chat_formatting": chat.op9,
         "op10_media_avi": media_avi.op10,
