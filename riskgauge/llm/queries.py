@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, language, licenses, media_avi, near_text, near_vectors, quality, urls
+from . import byte_bpe, chat, language, licenses, media_avi, mixing, near_text, near_vectors, quality, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_embedding_near_dedup": near_vectors.op1,
         "op2_language_id": language.op2,
         "op3_license_scans": licenses.op3,
+        "op4_source_mixing": mixing.op4,
         "op5_minhash_near_dedup": near_text.op5,
         "op6_byte_bpe": byte_bpe.op6,
         "op7_quality_classifier": quality.op7,
