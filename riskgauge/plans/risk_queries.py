@@ -132,9 +132,9 @@ def entries() -> dict:
         "saturation_row": (rs(lambda s, d: risk.saturation(target(s, d))), rounded_sql(f"{_q_names('confidence')} saturated_share middle_share", f"SELECT count(*) AS n, {_q('confidence')}, avg((confidence >= 0.99999)::INT) AS saturated_share, avg((p BETWEEN 0.01 AND 0.99)::INT) AS middle_share, count(DISTINCT confidence) AS n_confidences FROM {P}")),
         "label_budget_summary": (rs(lambda s, d: risk.abstention_summary(target(s, d), thresholds(s, base=True), ["label"])), rounded_sql("abstention_rate accepted_error_rate", f"""SELECT *, n_abstained::DOUBLE / n AS abstention_rate, {_ratio('accepted_errors', 'n_accepted')} AS accepted_error_rate FROM (SELECT label, target_rate, count(*) AS n,
             count(*) FILTER (NOT off) AS n_accepted, count(*) FILTER (off) AS n_abstained, count(*) FILTER (NOT off AND is_error = 1) AS accepted_errors, count(*) FILTER (is_error = 1) AS errors FROM (SELECT *, coalesce(confidence <= threshold, false) AS off FROM {P}, {BASE_SQL}) GROUP BY ALL)""")),
-        "observation_grouping_sets": (rs(lambda s, d: risk.observation_sets(pred(s, d).where("observation_group <> 'none'").withColumn("category", F.col("id") % 7), thresholds(s, base=True), "observation_group", "category", "attempted").withColumn("whole", F.col("whole").cast("int"))),
+        "observation_grouping_sets": (rs(lambda s, d: risk.observation_sets(pred(s, d).where("observation_group <> 'none'").withColumn("category", (F.col("id") % 7).cast("string")), thresholds(s, base=True), "observation_group", "category", "attempted").withColumn("whole", F.col("whole").cast("int"))),
             rounded_sql("mean_confidence abstention_rate", f"""SELECT *, n_abstained::DOUBLE / n AS abstention_rate FROM (SELECT target_rate, observation_group, category, grouping(category)::INT AS whole, count(*) AS n, count(*) FILTER (coalesce(confidence <= threshold, false)) AS n_abstained, avg(confidence) AS mean_confidence
-            FROM (SELECT *, id % 7 AS category FROM {pred_sql(where="observation_group <> 'none'")}, {BASE_SQL}) GROUP BY GROUPING SETS ((target_rate, observation_group), (target_rate, observation_group, category))) WHERE whole = 1 OR observation_group = 'attempted'""")),
+            FROM (SELECT *, (id % 7)::VARCHAR AS category FROM {pred_sql(where="observation_group <> 'none'")}, {BASE_SQL}) GROUP BY GROUPING SETS ((target_rate, observation_group), (target_rate, observation_group, category))) WHERE whole = 1 OR observation_group = 'attempted'""")),
         "prediction_scope_distribution": (rs(lambda s, d: risk.scope_distribution(target(s, d))), rounded_sql(_q_names("p"), " UNION ALL ".join(f"SELECT '{k}' AS scope, count(*) AS n, {_q('p')} FROM {P} WHERE {w}" for k, w in (("all", "true"), ("error", "is_error = 1"), ("correct", "is_error = 0"), ("attack", "binary_label = 1"), ("benign", "binary_label = 0"))))),
         "overlap_scope_budgets": (rs(lambda s, d: risk.fixed_threshold_metrics(overlap(target(s, d)), thresholds(s), ["scope"])), rounded_sql("rate_delta " + RATE_COLUMNS, fixed_sql(OVERLAP, "scope, "))),
         "overlap_scope_aurc": (rs(lambda s, d: risk.aurc(overlap(target(s, d)), ["scope"])), rounded_sql(AURC_COLUMNS, aurc_sql(OVERLAP, "scope"))),
