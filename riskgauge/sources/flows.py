@@ -24,7 +24,7 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.text(path).limit(1).collect()
     if not first:
         return []
-    return spark.createDataFrame([(first[0][0].lstrip("﻿"),)], "line string").select(F.from_csv("line", F.lit(", ".join(f"c{i} STRING" for i in range(first[0][0].count(",") + 1)))).alias("c")).select("c.*").first()[:]  # quoted names too
+    return spark.createDataFrame([(first[0][0].lstrip("\ufeff"),)], "line string").select(F.from_csv("line", F.lit(", ".join(f"c{i} STRING" for i in range(first[0][0].count(",") + 1)))).alias("c")).select("c.*").first()[:]  # quoted names too
 
 
 def header_mismatches(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
@@ -36,7 +36,7 @@ def header_mismatches(spark: SparkSession, paths: list[str]) -> dict[str, list[s
 def scan_flows(spark: SparkSession, paths: list[str], columns: list[str] | None = None, header: list[str] | None = None) -> DataFrame:
     """Day files as one table with ``day`` from the file's name; only ``columns`` are parsed. Empty text stays empty."""
     schema = flow_schema(list(header or read_header(spark, paths[0])))
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("emptyValue", "").option("nullValue", "\0").csv(paths)
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths).na.fill("", [c for c in schema.names if c in STRINGS])
     day = F.regexp_extract(F.input_file_name(), r"([^/]+?)\.csv(\.gz)?$", 1)
     df = df.withColumn("day", day)
     return df.select(*columns, "day") if columns else df
