@@ -20,5 +20,35 @@ def queries() -> dict:
     }
 
 
+REACH = """reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)"""
+
+VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+  {REACH}
+  SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept FROM embeddings
+  LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a) USING (vec_id)"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+DOCUMENTS = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+  x AS (SELECT doc_id, unnest(s) AS sh, len(s) AS n FROM s),
+  link AS (SELECT p.doc_id AS a, q.doc_id AS b FROM x p JOIN x q ON p.sh = q.sh AND p.doc_id <> q.doc_id GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+  {REACH}
+  SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept FROM s LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)"""
+
+_SAID = "<|im_end|><|im_start|>assistant ok"
+CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'),
+  p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+  q AS (SELECT *, pos = 1 AND role = 'system' AS sys, CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE ceil(length(text) / 4.0)::BIGINT + 4 END AS n,
+    24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS seg FROM p),
+  r AS (SELECT *, (sum(n) OVER (PARTITION BY conv_id ORDER BY pos) - n)::BIGINT AS bef FROM q),
+  z AS (SELECT *, bef // 896 AS win FROM r),
+  ws AS (SELECT conv_id, win, min(bef) AS st, lag(win) OVER (PARTITION BY conv_id ORDER BY win) AS prev FROM z GROUP BY conv_id, win),
+  more AS (SELECT ws.conv_id, sum(CASE WHEN z.sys OR (z.win = prev AND st - z.bef <= 256) THEN seg ELSE 0 END) AS extra FROM ws JOIN z ON ws.conv_id = z.conv_id WHERE prev IS NOT NULL GROUP BY ws.conv_id)
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, length(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, (sum(seg) + coalesce(any_value(extra), 0))::BIGINT AS formatted_chars FROM z LEFT JOIN more USING (conv_id) GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query. The others learn, or give labels, tokens or files that SQL can't; tests hold these against brute force."""
+    return {"op1_embedding_near_dedup": VECTORS, "op5_minhash_near_dedup": DOCUMENTS, "op9_chat_formatting": CHAT}
