@@ -110,12 +110,10 @@ def _profile_sql(t: str, c: str) -> str:
 
 def entries() -> dict:
     rs = lambda f: (lambda s, d: rounded(f(s, d)))
-    att, lab = F.col("attempted"), F.col("label")
     q = lambda p: f"quantile_cont(rate, {p}) FILTER (train AND isfinite(rate)) * 3"
     bounds = f"(SELECT CASE WHEN bool_or(rate = 'Infinity'::DOUBLE) THEN {q(0.999)} END AS u, CASE WHEN bool_or(rate = '-Infinity'::DOUBLE) THEN {q(0.001)} END AS l FROM {RATES})"
     wide_cols = ["o_custkey", "o_totalprice", "one", "price_copy", "cust_copy", "none", "o_orderpriority"]
     ident = lambda n, a, b: f"SELECT '{n}' AS identity, count(*) AS n, avg((abs(({a}) - ({b})) <= 1e-9)::INT) AS match_share, max(abs(({a}) - ({b}))) AS max_abs_diff, max(abs(({a}) - ({b})) / abs(nullif({b}, 0))) AS max_rel_diff FROM lineitem"
-    qty, disc, tax, price = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice")
     knn_q = lambda s, d: read(s, d, "embeddings").where("vec_id < 50")
     occ = "SELECT port AS value, count(*) AS rows, count(*) FILTER (special) AS target_rows, count(*) FILTER (NOT special) AS other_rows, count(*) FILTER (benign) AS benign_rows, array_to_string(list_sort(list_distinct(list(label) FILTER (NOT special))), ',') AS other_labels"
     return {
@@ -129,14 +127,14 @@ def entries() -> dict:
         "duplicate_columns": (lambda s, d: prep.duplicate_columns(wide(s, d), wide_cols, ["o_orderkey"]), "SELECT 'price_copy' AS \"column\", 'o_totalprice' AS same_as UNION ALL SELECT 'cust_copy', 'o_custkey'"),
         "reserve_rejoin": (lambda s, d: (lambda m, x: m.join(x, "o_orderkey"))(*prep.reserve(read(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", ["o_custkey"])), "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"),
         "observation_group": (lambda s, d: scenario.counts(pred(s, d), "observation_group", "label"), f"SELECT observation_group, label, count(*) AS rows FROM {pred_sql()} GROUP BY ALL"),
-        "label_inventory": (lambda s, d: scenario.counts(ev(s, d), "label").withColumn("is_attempted", sc.contains_ci(lab, "SIGN")), "SELECT event_type AS label, count(*) AS rows, event_type ILIKE '%sign%' AS is_attempted FROM events GROUP BY ALL"),
+        "label_inventory": (lambda s, d: scenario.counts(ev(s, d), "label").withColumn("is_attempted", sc.contains_ci(F.col("label"), "SIGN")), "SELECT event_type AS label, count(*) AS rows, event_type ILIKE '%sign%' AS is_attempted FROM events GROUP BY ALL"),
         "label_day_crosstab": (lambda s, d: scenario.counts(ev(s, d).withColumn("day", F.col("day").cast("string")), "label", "day"), f"SELECT label, day::VARCHAR AS day, count(*) AS rows FROM {EV} GROUP BY ALL"),
         "label_pivot": (lambda s, d: ev(s, d).groupBy("label").pivot("port", list(range(0, 23, 11))).count().na.fill(0).withColumnsRenamed({str(i): f"port_{i}" for i in range(23)}), f"SELECT label, count(*) FILTER (port = 0) AS port_0, count(*) FILTER (port = 11) AS port_11, count(*) FILTER (port = 22) AS port_22 FROM {EV} GROUP BY 1"),
-        "label_name_patterns": (lambda s, d: scenario.counts(groups_view(s, d).withColumn("label", F.concat("label", F.lit(" - Attempted"))), "label").select("label", *(c.alias(k) for k, c in sc.name_patterns(lab).items())), f"SELECT DISTINCT label || ' - Attempted' AS label, true AS ends_with_dash_attempted, false AS has_double_space, 2::BIGINT AS n_dash_parts FROM {GROUPS}"),
+        "label_name_patterns": (lambda s, d: scenario.counts(groups_view(s, d).withColumn("label", F.concat("label", F.lit(" - Attempted"))), "label").select("label", *(c.alias(k) for k, c in sc.name_patterns(F.col("label")).items())), f"SELECT DISTINCT label || ' - Attempted' AS label, true AS ends_with_dash_attempted, false AS has_double_space, 2::BIGINT AS n_dash_parts FROM {GROUPS}"),
         "category_counts": (lambda s, d: scenario.counts(text_category(ev(s, d)), "category"), f"SELECT category::VARCHAR AS category, count(*) AS rows FROM {EV} GROUP BY ALL"),
         "label_category_crosstab": (lambda s, d: scenario.counts(text_category(ev(s, d)), "label", "category"), f"SELECT label, category::VARCHAR AS category, count(*) AS rows FROM {EV} GROUP BY ALL"),
-        "sentinel_consistency": (lambda s, d: scenario.sentinel_check(ev(s, d).where("category is not null"), att, "category"), f"SELECT 1::BIGINT AS n_other_categories, -1::BIGINT AS sentinel, count(*) FILTER (attempted) AS attempted_rows, count(*) FILTER (attempted AND category = -1) AS mismatches, false AS ambiguous FROM {EV} WHERE category IS NOT NULL"),
-        "sentinel_examples": (lambda s, d: scenario.sentinel_examples(ev(s, d), att, "category", 3, ["id"]), f"SELECT id, category FROM {EV} WHERE attempted AND category = 3 ORDER BY id LIMIT 20"),
+        "sentinel_consistency": (lambda s, d: scenario.sentinel_check(ev(s, d).where("category is not null"), F.col("attempted"), "category"), f"SELECT 1::BIGINT AS n_other_categories, -1::BIGINT AS sentinel, count(*) FILTER (attempted) AS attempted_rows, count(*) FILTER (attempted AND category = -1) AS mismatches, false AS ambiguous FROM {EV} WHERE category IS NOT NULL"),
+        "sentinel_examples": (lambda s, d: scenario.sentinel_examples(ev(s, d), F.col("attempted"), "category", 3, ["id"]), f"SELECT id, category FROM {EV} WHERE attempted AND category = 3 ORDER BY id LIMIT 20"),
         "shortcut_values": (lambda s, d: scenario.value_occurrences(ev(s, d), "port", [3, 7, 11], F.col("special"), F.col("benign")), f"{occ} FROM {EV} WHERE port IN (3, 7, 11) GROUP BY port"),
         "outside_shortcut": (lambda s, d: scenario.outside_values(ev(s, d), "port", [3, 7, 11], F.col("special")), f"SELECT count(*) FILTER (special) AS target_rows, count(*) FILTER (special AND port NOT IN (3, 7, 11)) AS outside_rows FROM {EV}"),
         "value_distribution": (rs(lambda s, d: scenario.top_values(ev(s, d).where("special"), "port")), rounded_sql("share", f"SELECT port AS value, rows, rows / total AS share FROM (SELECT port, count(*) AS rows, sum(count(*)) OVER () AS total FROM {EV} WHERE special GROUP BY port ORDER BY rows DESC, port LIMIT 20)")),
@@ -147,16 +145,16 @@ def entries() -> dict:
         "labels_dropped": (lambda s, d: scenario.labels_dropped(scenarios(s, d)), f"SELECT b.scenario, a.label FROM (SELECT DISTINCT label FROM {SCEN} WHERE scenario = 'S0') a, (SELECT DISTINCT scenario FROM {SCEN}) b EXCEPT SELECT DISTINCT scenario, label FROM {SCEN}"),
         "below_min_groups": (below_min, f"SELECT scenario, count(*) AS strata_below_min FROM (SELECT scenario, day, label, count(DISTINCT port) AS n FROM {SCEN} GROUP BY ALL) WHERE n < 20 GROUP BY 1"),
         "benign_contamination": (rs(lambda s, d: scenario.contamination(ev(s, d), F.col("port") == 3, F.col("benign"))), rounded_sql("ratio", f"SELECT *, benign_shortcut_rows / benign_rows AS ratio, benign_shortcut_rows / benign_rows > 0.001 AS stop FROM (SELECT count(*) FILTER (port = 3 AND benign) AS benign_shortcut_rows, count(*) FILTER (benign) AS benign_rows FROM {EV})")),
-        "candidate_denominators": (lambda s, d: scenario.denominators(ev(s, d), {"all_rows": F.lit(True), "special": F.col("special"), "special_or_attempted": F.col("special") | att, "not_benign": ~F.col("benign")}), f"SELECT count(*) AS all_rows, count(*) FILTER (special) AS special, count(*) FILTER (special OR attempted) AS special_or_attempted, count(*) FILTER (NOT benign) AS not_benign FROM {EV}"),
+        "candidate_denominators": (lambda s, d: scenario.denominators(ev(s, d), {"all_rows": F.lit(True), "special": F.col("special"), "special_or_attempted": F.col("special") | F.col("attempted"), "not_benign": ~F.col("benign")}), f"SELECT count(*) AS all_rows, count(*) FILTER (special) AS special, count(*) FILTER (special OR attempted) AS special_or_attempted, count(*) FILTER (NOT benign) AS not_benign FROM {EV}"),
         "codebook_conformance": (lambda s, d: scenario.codebook(ev(s, d), "category", {3: F.col("id") % 7 == 3, 4: F.col("port") < 9}), f"SELECT code, rows, obeying, matching_anywhere FROM (SELECT category AS code, count(*) AS rows, count(*) FILTER (CASE category WHEN 3 THEN id % 7 = 3 ELSE port < 9 END) AS obeying FROM {EV} WHERE category IN (3, 4) GROUP BY 1) JOIN (SELECT 3 AS code, count(*) FILTER (id % 7 = 3) AS matching_anywhere FROM {EV} UNION ALL SELECT 4, count(*) FILTER (port < 9) FROM {EV}) USING (code)"),
         "protocol_map": (lambda s, d: scenario.counts(ev(s, d).select(sc.code_map(F.element_at(F.array(*map(F.lit, (0, 1, 6, 17))), (F.col("id") % 4 + 1).cast("int")), sc.PROTOCOLS).alias("protocol")), "protocol"), "SELECT ['UNKNOWN', 'ICMP', 'TCP', 'UDP'][event_id % 4 + 1] AS protocol, count(*) AS rows FROM events GROUP BY 1"),
         "group_hash_parse": (lambda s, d: ev(s, d).select("id", sc.extract_group_hash(F.format_string("g_%016x_0", F.col("id") * 7919)).alias("hash")), "SELECT event_id AS id, (event_id * 7919)::VARCHAR AS hash FROM events"),
         "column_profile": (rs(lambda s, d: profile.column_profile(read(s, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_partkey"])), rounded_sql("min max zero_ratio", " UNION ALL ".join(_profile_sql("lineitem", c) for c in ("l_quantity", "l_discount", "l_tax", "l_partkey")))),
         "mode_ratio": (rs(lambda s, d: profile.mode_ratio(read(s, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"])), rounded_sql("mode_ratio", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", max(n) AS mode_rows, sum(n)::BIGINT AS rows, max(n)::DOUBLE / sum(n) AS mode_ratio FROM (SELECT count(*) AS n FROM lineitem GROUP BY {c})" for c in ("l_quantity", "l_discount", "l_tax")))),
-        "spearman_nonzero": (rs(lambda s, d: profile.spearman(read(s, d, "lineitem"), "l_quantity", "l_extendedprice", (disc != 0) & (tax != 0))), rounded_sql("rho", "SELECT count(*) AS n, corr(ra, rb) AS rho FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS ra, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS rb FROM lineitem WHERE l_discount <> 0 AND l_tax <> 0)")),
-        "identity_checks": (rs(lambda s, d: profile.identities(read(s, d, "lineitem"), {"sum": (qty + disc, disc + qty), "greatest": (F.greatest(disc, tax), tax), "product": (price * disc, price * tax)})), rounded_sql("match_share max_abs_diff max_rel_diff", " UNION ALL ".join((ident("sum", "l_quantity + l_discount", "l_discount + l_quantity"), ident("greatest", "greatest(l_discount, l_tax)", "l_tax"), ident("product", "l_extendedprice * l_discount", "l_extendedprice * l_tax"))))),
-        "wrap16": (rs(lambda s, d: profile.wrap16(read(s, d, "lineitem"), qty * 2000 - 60000, qty)), rounded_sql("median_unwrapped", "SELECT count(*) AS n, count(*) FILTER (l_quantity * 2000 - 60000 < 0) AS n_negative, quantile_cont((l_quantity * 2000 - 60000 + 65536) / l_quantity, 0.5) FILTER (l_quantity * 2000 - 60000 < 0) AS median_unwrapped, count(*) FILTER (l_quantity * 2000 - 60000 > 32767) AS n_near_limit FROM lineitem")),
-        "set_equivalence": (lambda s, d: profile.equivalence(ev(s, d), att, F.col("category") >= 0), f"SELECT *, only_a = 0 AND only_b = 0 AS equivalent FROM (SELECT count(*) FILTER (attempted) AS n_a, count(*) FILTER (category >= 0) AS n_b, count(*) FILTER (attempted AND NOT category >= 0) AS only_a, count(*) FILTER (category >= 0 AND NOT attempted) AS only_b FROM {EV})"),
+        "spearman_nonzero": (rs(lambda s, d: profile.spearman(read(s, d, "lineitem"), "l_quantity", "l_extendedprice", (F.col("l_discount") != 0) & (F.col("l_tax") != 0))), rounded_sql("rho", "SELECT count(*) AS n, corr(ra, rb) AS rho FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS ra, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS rb FROM lineitem WHERE l_discount <> 0 AND l_tax <> 0)")),
+        "identity_checks": (rs(lambda s, d: profile.identities(read(s, d, "lineitem"), {"sum": (F.col("l_quantity") + F.col("l_discount"), F.col("l_discount") + F.col("l_quantity")), "greatest": (F.greatest(F.col("l_discount"), F.col("l_tax")), F.col("l_tax")), "product": (F.col("l_extendedprice") * F.col("l_discount"), F.col("l_extendedprice") * F.col("l_tax"))})), rounded_sql("match_share max_abs_diff max_rel_diff", " UNION ALL ".join((ident("sum", "l_quantity + l_discount", "l_discount + l_quantity"), ident("greatest", "greatest(l_discount, l_tax)", "l_tax"), ident("product", "l_extendedprice * l_discount", "l_extendedprice * l_tax"))))),
+        "wrap16": (rs(lambda s, d: profile.wrap16(read(s, d, "lineitem"), F.col("l_quantity") * 2000 - 60000, F.col("l_quantity"))), rounded_sql("median_unwrapped", "SELECT count(*) AS n, count(*) FILTER (l_quantity * 2000 - 60000 < 0) AS n_negative, quantile_cont((l_quantity * 2000 - 60000 + 65536) / l_quantity, 0.5) FILTER (l_quantity * 2000 - 60000 < 0) AS median_unwrapped, count(*) FILTER (l_quantity * 2000 - 60000 > 32767) AS n_near_limit FROM lineitem")),
+        "set_equivalence": (lambda s, d: profile.equivalence(ev(s, d), F.col("attempted"), F.col("category") >= 0), f"SELECT *, only_a = 0 AND only_b = 0 AS equivalent FROM (SELECT count(*) FILTER (attempted) AS n_a, count(*) FILTER (category >= 0) AS n_b, count(*) FILTER (attempted AND NOT category >= 0) AS only_a, count(*) FILTER (category >= 0 AND NOT attempted) AS only_b FROM {EV})"),
         "validation_checks": (checks, CHECKS),
         "ood_knn": (lambda s, d: rounded(profile.nearest_distance(read(s, d, "embeddings"), knn_q(s, d)), 6), rounded_sql("mean_distance nearest", "SELECT q, avg(d) AS mean_distance, min(d) AS nearest FROM (SELECT a.vec_id AS q, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS nth FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND a.vec_id <> b.vec_id) WHERE nth <= 5 GROUP BY q", 6)),
         "ood_mahalanobis": (lambda s, d: rounded(profile.diagonal_mahalanobis(read(s, d, "embeddings")), 6), rounded_sql("distance", """WITH l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), st AS (SELECT label, i, avg(x) AS m, var_pop(x) + 1e-6 AS v FROM l GROUP BY ALL),
