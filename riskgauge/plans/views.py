@@ -65,9 +65,9 @@ def groups_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     return li.select(
         "l_partkey", "l_quantity", F.concat("l_returnflag", "l_linestatus").alias("label"), F.col("l_linenumber").alias("day"),
-        F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("id"), (F.concat("l_returnflag", "l_linestatus") == "NO").alias("is_benign"))
+        F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint"))).alias("id"), (F.concat("l_returnflag", "l_linestatus") == "NO").alias("is_benign"))
 
 
 GROUPS = """(SELECT l_partkey, l_quantity, l_returnflag || l_linestatus AS label, l_linenumber AS day,
-  md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS id, (l_returnflag || l_linestatus) = 'NO' AS is_benign FROM lineitem)"""
+  md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT)) AS id, (l_returnflag || l_linestatus) = 'NO' AS is_benign FROM lineitem)"""
 KEY = ["l_partkey", "l_quantity"]
