@@ -34,35 +34,34 @@ def first_fit(groups: DataFrame, targets: DataFrame, label: str, key: list[str],
     In md5 order, groups of two rows or more are taken while they fit, skipping those that don't; single rows fill
     the rest; if rows are still missing, the smallest unchosen group is added where that comes strictly closer.
     """
-    g = groups.withColumn("order", shuffled(seed, *map(F.col, key))).withColumn("bucket", F.substring("order", 1, 2)).join(F.broadcast(targets), label)  # one row a label
-    multi = g.where("size >= 2")
-    inside = Window.partitionBy(label, "bucket").orderBy("order", *key).rowsBetween(Window.unboundedPreceding, 0)
-    sizes = multi.groupBy(label, "bucket").agg(F.sum("size").alias("s"))
-    before = Window.partitionBy(label).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(label, "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))  # 256 rows a label
-    ordered = multi.withColumn("cum", F.sum("size").over(inside)).join(F.broadcast(offsets), [label, "bucket"]).withColumn("cum", F.col("cum") + F.col("offset"))
-    bulk = ordered.where("cum <= target")
-    rest = targets.join(bulk.groupBy(label).agg(F.max("cum").alias("taken")), label, "left").select(label, (F.col("target") - F.coalesce("taken", F.lit(0))).alias("left"))
+    g = groups.withColumn("order", shuffled(seed, *map(F.col, key))).withColumn("bucket", F.substring("order", 1, 2)).withColumn("single", F.col("size") == 1)
+    part = [label, "single", "bucket"]
+    inside = Window.partitionBy(*part).orderBy("order", *key).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(label, "single").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = g.groupBy(*part).agg(F.sum("size").alias("s")).select(*part, F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))  # 512 rows a label
+    ordered = g.withColumn("cum", F.sum("size").over(inside)).join(F.broadcast(offsets), part).withColumn("cum", F.col("cum") + F.col("offset"))
+    ordered = ordered.join(F.broadcast(targets), label).persist()  # one target a label; each step below reads this
+    multi, singles = ordered.where("not single"), ordered.where("single")
+    bulk = multi.where("cum <= target")
+    sums = ordered.groupBy(label).agg(F.max(F.when(~F.col("single") & (F.col("cum") <= F.col("target")), F.col("cum"))).alias("taken"), F.max(F.when(F.col("single"), F.col("cum"))).alias("singles"))
+    rest = targets.join(sums, label, "left").select(label, (F.col("target") - F.coalesce("taken", F.lit(0))).alias("left"), F.coalesce("singles", F.lit(0)).alias("singles"))
     # of each size s at most left // s groups can follow, the first ones in order: a set bounded by the largest group
-    tail = ordered.where("cum > target").join(F.broadcast(rest), label).where("size <= left")
+    tail = multi.where("cum > target").join(F.broadcast(rest), label).where("size <= left")
     tail = tail.withColumn("nth", F.row_number().over(Window.partitionBy(label, "size").orderBy("order", *key))).where(F.col("nth") <= F.floor(F.col("left") / F.col("size")))
     packed = tail.groupBy(label, "left").agg(F.array_sort(F.collect_list(F.struct("order", F.struct(*key).alias("key"), F.col("size").cast("long").alias("size")))).alias("all"))
     start = F.struct(F.expr("slice(all, 1, 0)").alias("got"), F.col("left").cast("long").alias("left"))
     fold = F.aggregate("all", start, lambda a, x: F.when(x["size"] <= a["left"], F.struct(F.concat(a["got"], F.array(x)).alias("got"), (a["left"] - x["size"]).alias("left"))).otherwise(a))
-    more = packed.select(label, fold.alias("f"))
-    chosen_more = more.select(label, F.explode("f.got").alias("x")).select(label, "x.key.*")
-    rest = rest.join(more.select(label, F.col("f.left").alias("after")), label, "left").select(label, F.coalesce("after", "left").alias("left"))
-    single = g.where("size = 1").join(F.broadcast(rest), label)
-    at = F.row_number().over(Window.partitionBy(label, "bucket").orderBy("order", *key))
-    n1 = g.where("size = 1").groupBy(label, "bucket").agg(F.count("*").alias("s"))
-    off1 = n1.select(label, "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
-    single = single.withColumn("nth", at).join(F.broadcast(off1), [label, "bucket"]).where(F.col("nth") + F.col("offset") <= F.col("left")).select(label, *key)
-    have = n1.groupBy(label).agg(F.sum("s").alias("singles"))
-    rest = rest.join(have, label, "left").select(label, (F.col("left") - F.least("left", F.coalesce("singles", F.lit(0)))).alias("left"))
-    chosen = bulk.select(label, *key).unionByName(chosen_more)
-    free = multi.join(rest.where("left > 0"), label).join(chosen, [label, *key], "left_anti").where(F.col("size") - F.col("left") < F.col("left"))
+    more = packed.select(label, fold.alias("f")).persist()
+    chosen = bulk.select(label, *key).unionByName(more.select(label, F.explode("f.got").alias("x")).select(label, "x.key.*"))
+    rest = rest.join(more.select(label, F.col("f.left").alias("after")), label, "left").select(label, F.coalesce("after", "left").alias("left"), "singles").persist()
+    filled = singles.join(F.broadcast(rest.select(label, "left")), label).where("cum <= left").select(label, *key)
+    short = rest.select(label, (F.col("left") - F.least("left", "singles")).alias("left")).where("left > 0")
+    chosen_all = chosen.unionByName(filled)
+    if short.isEmpty():
+        return chosen_all
+    free = multi.join(F.broadcast(short), label).where(F.col("size") - F.col("left") < F.col("left")).join(chosen, [label, *key], "left_anti")
     over = free.withColumn("nth", F.row_number().over(Window.partitionBy(label).orderBy("size", "order", *key))).where("nth = 1").select(label, *key)
-    return chosen.unionByName(single).unionByName(over)
+    return chosen_all.unionByName(over)
 
 
 def choose_conflict_groups(matrix: dict[str, list[int]], targets: list[int], seed: int = 42) -> set[str]:
@@ -109,10 +108,10 @@ def group_split(rows: DataFrame, key: list[str], label: str = "label", fraction:
     g = rows.groupBy(*key, label).agg(F.count("*").alias("n")).persist()  # read six times below; far smaller than the rows
     per = g.groupBy(*key).agg(F.count("*").alias("n_labels"), F.sum("n").alias("size"), F.min(label).alias(label), F.array_join(F.array_sort(F.collect_list(F.concat(label, F.lit("="), F.col("n").cast("string")))), ",").alias("signature")).persist()
     multi = per.where("n_labels > 1")
-    conflict = proportional_conflict_groups(multi.select(*key, "signature"), key, "signature", fraction, seed)
+    conflict = proportional_conflict_groups(multi.select(*key, "signature"), key, "signature", fraction, seed).persist()
     used = g.join(conflict, key, "left_semi").groupBy(label).agg(F.sum("n").alias("used"))
     targets = g.groupBy(label).agg(F.bround(F.sum("n") * F.lit(fraction), 0).cast("long").alias("goal")).join(used, label, "left")
-    targets = targets.select(label, F.greatest(F.col("goal") - F.coalesce("used", F.lit(0)), F.lit(0)).alias("target"))
+    targets = targets.select(label, F.greatest(F.col("goal") - F.coalesce("used", F.lit(0)), F.lit(0)).alias("target")).persist()
     return conflict.unionByName(first_fit(per.where("n_labels = 1").select(label, *key, "size"), targets, label, key, seed).select(*key))
 
 
