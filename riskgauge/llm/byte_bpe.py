@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens longer than this are not kept in the cache, which holds two generations of this many entries at most.
-CACHE_CHARS, GENERATION = 40, 600_000
+#: Pre-tokens longer than this are not kept in the cache. A text that finds this many entries in it starts a new
+#: generation, which falls back on the one before; no generation takes more than twice as many.
+CACHE_CHARS, GENERATION = 40, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,17 +33,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Cache(dict):
     """Pre-token to its ids, as text; what isn't here comes from the older generation or is encoded."""
 
-    def __init__(self, encode) -> None:
-        self.encode, self.old = encode, {}
+    def __init__(self, encode, old: dict[str, str]) -> None:
+        self.encode, self.old = encode, old
 
     def __missing__(self, piece: str) -> str:
-        ids = self.old.get(piece)
+        ids = self.old.get(piece)  # get() doesn't encode there
         if ids is None:
             ids = " ".join(map(str, self.encode(piece.encode("utf-8", "surrogatepass"))))
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= GENERATION:
-                self.old = dict(self)
-                self.clear()
+        if len(piece) <= CACHE_CHARS and len(self) < 2 * GENERATION:
             self[piece] = ids
         return ids
 
@@ -58,7 +56,7 @@ class Bpe:
         self.find = regex.compile(pattern).findall
         n = max(self.ranks.values()) + 1
         self.low, self.mid = [0] * ((n >> 6) + 1), [0] * ((n >> 12) + 1)
-        self.cache = Cache(self.encode_piece)
+        self.cache = Cache(self.encode_piece, {})
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. The queue's bitmaps and buckets are empty before and after."""
@@ -129,6 +127,9 @@ class Bpe:
 
     def encode_as_text(self, text: str) -> str:
         """Decimal ids joined by one space."""
+        if len(self.cache) >= GENERATION:
+            self.cache.old = {}
+            self.cache = Cache(self.encode_piece, self.cache)
         return " ".join(map(self.cache.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> list[int]:

@@ -27,7 +27,7 @@ from .common import remainder, table
 
 TRAIN_DOCS, BUCKETS, STEPS, BATCH, LENGTH = 1500, 1 << 15, 200, 48, 40
 #: Words of a block, words handled at once, and emissions that a worker keeps.
-BLOCK, WORDS, KEEP = 32, 150_000, 500_000
+BLOCK, WORDS, KEEP = 32, 100_000, 150_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -168,22 +168,26 @@ class Crf:
 
 
 class Emissions(dict):
-    """Word to the number of its row of emissions; a bounded cache."""
+    """Word to the number of its row of emissions; a bounded cache of two generations."""
 
     def __init__(self, crf: Crf) -> None:
         self.crf, self.rows = crf, np.empty((1024, len(crf.labels)))
+        self.old, self.old_rows = {}, self.rows
 
     def __missing__(self, word: str) -> int:
         k = len(self)
         if k == len(self.rows):
             self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-        self.rows[k] = self.crf.emission(word)
+        was = self.old.get(word)
+        self.rows[k] = self.crf.emission(word) if was is None else self.old_rows[was]
         self[word] = k
         return k
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self) > KEEP:
+            self.old, self.old_rows = dict(self), self.rows
             self.clear()
+            self.rows = np.empty((1024, len(self.crf.labels)))
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return self.rows[at]
 
