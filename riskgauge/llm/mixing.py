@@ -119,34 +119,33 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], steps: int = STEPS, p
     return cut(state)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """Cells with posteriors and rates, and the lexicon that makes them."""
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str], DataFrame]:
+    """Cells with posteriors and rates, the lexicon that makes them, and every document's cell and tokens (doc_id, n_tokens, cell)."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lexicon = learn_lexicon(own, labels)
     seen = cut(featured(own, lexicon).drop("text"))
     cells = cut(seen.groupBy(*CELL).agg(F.sum("n_tokens").alias("tokens")))
     known = seen.join(domains_of(labels), "doc_id")
-    return fit_rates(cut(posteriors(cells, known, list(targets))), targets), lexicon
+    return fit_rates(cut(posteriors(cells, known, list(targets))), targets), lexicon, seen
 
 
-def with_rates(docs: DataFrame, cells: DataFrame, lexicon: list[str], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with its cell columns, n_tokens, p, rate and copies. The cells are a table of a bounded size."""
+def rated(placed: DataFrame, cells: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows that have their cell columns, with p, rate and copies. The cells are a table of a bounded size."""
     u = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = featured(docs, lexicon, text_col).join(F.broadcast(cells.select(*CELL, "p", "rate")), list(CELL))
-    return out.withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+    out = placed.join(F.broadcast(cells.select(*CELL, "p", F.col("rate").alias("__rate"))), list(CELL))
+    return out.withColumn("rate", F.col("__rate")).drop("__rate").withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` as often as their rates say: left out, once or repeated."""
-    cells, lexicon = mixed(docs, labels, targets)
-    names = docs.columns
-    kept = with_rates(docs, cells, lexicon).where("copies > 0")
-    return kept.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*names)
+    cells, lexicon, _ = mixed(docs, labels, targets)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))  # so that no column's name clashes
+    kept = rated(featured(whole, lexicon), cells).where("copies > 0")
+    return kept.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select("__row.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cells, lexicon = mixed(docs, table(spark, sf_dir, "labels"))
+    cells, _, seen = mixed(docs, table(spark, sf_dir, "labels"))
     domains = list(TARGETS)
-    out = with_rates(docs, cells, lexicon)
-    return out.select("doc_id", "n_tokens", *(F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(domains)), F.round("rate", 9).alias("rate"), "copies")
+    return rated(seen, cells).select("doc_id", "n_tokens", *(F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(domains)), F.round("rate", 9).alias("rate"), "copies")

@@ -118,8 +118,8 @@ def brute_rates(tokens, p, t, steps=20000):
 
 
 def test_mixing_meets_targets_as_brute_force_does(docs, labels):
-    cells, lexicon = mixing.mixed(docs, labels)
-    rows = mixing.with_rates(docs.select("doc_id", "text"), cells, lexicon).select("doc_id", "n_tokens", "p", "rate", "copies").collect()
+    cells, _, seen = mixing.mixed(docs, labels)
+    rows = mixing.rated(seen, cells).select("doc_id", "n_tokens", "p", "rate", "copies").collect()
     tokens, p, rate = (np.array([r[k] for r in rows], dtype=float) for k in ("n_tokens", "p", "rate"))
     t = np.array(list(mixing.TARGETS.values()))
     assert len(rows) == 600 and np.allclose(p.sum(axis=1), 1) and (rate >= 0).all()
@@ -131,10 +131,10 @@ def test_mixing_meets_targets_as_brute_force_does(docs, labels):
 
 def test_mixing_of_odd_rows(spark, labels):
     odd = spark.createDataFrame(ODD, KINDS).withColumn("rate", F.lit("x"))
-    cells, lexicon = mixing.mixed(odd, labels.limit(0))
-    assert mixing.with_rates(odd.select("doc_id", "text"), cells, lexicon).count() == len(ODD)
-    cells, lexicon = mixing.mixed(odd.limit(0), labels)
-    assert mixing.with_rates(odd.limit(0).select("doc_id", "text"), cells, lexicon).count() == 0
+    cells, lexicon, seen = mixing.mixed(odd, labels.limit(0))
+    assert mixing.rated(seen, cells).count() == mixing.rated(mixing.featured(odd, lexicon), cells).count() == len(ODD)
+    cells, _, seen = mixing.mixed(odd.limit(0), labels)
+    assert mixing.rated(seen, cells).count() == 0
 
 
 def test_pipeline_stages(spark, docs):
