@@ -209,7 +209,10 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, held_out: int | None =
     seen = docs.where("lang is not null and text is not null")
     if held_out is not None:
         seen = seen.where(remainder("doc_id", 3) != held_out)
-    drawn = seen.select("lang", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(train_docs).toArrow()
+    h = F.xxhash64("doc_id")
+    ids = seen.where("doc_id is not null").select("doc_id").distinct().orderBy(h, "doc_id").limit(train_docs)
+    texts_of = seen.join(F.broadcast(ids), "doc_id", "left_semi")  # train_docs ids at most; no text is sent that isn't drawn
+    drawn = texts_of.select("lang", "text", h.alias("h")).orderBy("h", "text").limit(train_docs).toArrow()
     texts, y = [], []
     labels = sorted(set(drawn.column("lang").to_pylist()))
     for lang, text in zip(drawn.column("lang").to_pylist(), drawn.column("text").to_pylist(), strict=True):
