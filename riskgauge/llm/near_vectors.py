@@ -1,15 +1,18 @@
-"""Embedding near-dedup with a pivot-permutation index.
+"""Embedding near-dedup with a pivot index and exact bounds.
 
-Reference points (pivots) are rows of the table. A vector is described by its ``nearest`` pivots in order of
-closeness. Its inverted lists are those of the pivots that it shares; a pair is a candidate if the two
-descriptions share at least ``shared`` pivots, and is verified by its cosine in double precision.
-Two descriptions of m pivots that share t of them meet on one of the m - t + 1 rarest of each, so a vector is
-posted to these lists only, and a pair counts in the first list where both stand. Lists are compared in blocks,
-which give link counts and a spanning forest, never pairs; equal vectors are one entry with a multiplicity.
+Reference points (pivots) are rows of the table. A vector is in the list of its nearest pivot, in the near or far
+part of it, and a list keeps the least and the greatest angle of its members to the pivot. With angles as a metric,
+and as no other pivot is nearer to a member than its own, two lists hold no link if their pivots, or the members of
+one and the pivot of the other, stand too far apart. All other lists are compared in full, by cosines in double
+precision, so every link is found whatever the pivots are: they only say what need not be compared. Dense groups
+meet only lists that touch them; rows with no structure at all are compared with each other, which takes time with
+the square of their number.
 
-The number of pivots grows with the square root of the rows (a bounded table: ``most_pivots``), so that lists
-grow no faster either. The pivots and their list lengths are the only thing fitted on a bounded sample
-(``sample``); every row is indexed.
+Small lists are pooled and large ones are cut into blocks. Pairs of blocks give link counts and a spanning forest,
+never pairs; equal vectors are one entry with a multiplicity.
+
+The number of pivots grows with the square root of the rows (a bounded table: ``most_pivots``). The pivots are the
+only thing fitted on a bounded sample (``sample``); every row is indexed.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component link with nothing, as do
 vectors of different lengths; repeated vec_ids are separate rows; other columns of the input are ignored.
@@ -28,8 +31,11 @@ from pyspark.sql import functions as F
 from . import ragged as R
 from .common import components, cut, table
 
-THRESHOLD, BLOCK = 0.95, 512
-NEAREST, SHARED = 10, 3
+THRESHOLD, BLOCK, TILE = 0.95, 4096, 512
+#: The angle of the threshold; members of a list are near up to twice this angle.
+ANGLE = math.acos(THRESHOLD)
+#: Far above the rounding errors of an angle and of a cosine.
+ANGLE_SLACK, COSINE_SLACK = 1e-6, 1e-12
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -44,16 +50,15 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def describe(x: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
-    """Each row's nearest pivots (their numbers), closest first."""
+def home(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest pivot (its number) and the angle to it."""
     near = x @ pivots.T
-    m = min(nearest, len(pivots))
-    top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
+    at = near.argmax(axis=1)
+    return at.astype(np.int32), np.arccos(np.clip(near[np.arange(len(x)), at], -1, 1))
 
 
 def fit_pivots(vectors: DataFrame, sample: int = 4096, most_pivots: int = 1024, seed: int = 5) -> dict[int, np.ndarray]:
-    """For each vector length of the sample, pivots with the rarest list first. ``vectors``: (v array<double>, n rows known)."""
+    """Pivots for each vector length of the sample. ``vectors``: (v array<double>)."""
     total = vectors.count()
     drawn = vectors.select("v").orderBy(F.xxhash64("v")).limit(sample).toPandas()["v"]
     by: dict[int, list] = {}
@@ -63,9 +68,7 @@ def fit_pivots(vectors: DataFrame, sample: int = 4096, most_pivots: int = 1024,
     for d, rows in by.items():
         x = unit(np.array(rows, dtype=np.float64))
         n = min(len(x), most_pivots, max(32, round(2 * math.sqrt(total))))
-        p = x[np.random.default_rng(seed).permutation(len(x))[:n]]
-        uses = np.bincount(describe(x, p).ravel(), minlength=n)
-        out[d] = p[np.argsort(uses, kind="stable")]
+        out[d] = x[np.random.default_rng(seed).permutation(len(x))[:n]]
     return out
 
 
@@ -81,60 +84,77 @@ def _post(fitted: dict[int, np.ndarray]):
             for d in np.unique(size):
                 rows = pa.array(np.flatnonzero(size == d))
                 v = b.column("v").take(rows)
-                own = np.sort(describe(unit(matrix(v)), pivots_for(fitted, int(d))), axis=1)
-                m = own.shape[1]
-                keep = max(1, m - SHARED + 1)  # rarest first: pivots are numbered by the length of their lists
-                each = pa.array(np.repeat(np.arange(len(v)), keep))
-                post = pa.ListArray.from_arrays(np.arange(0, own.size + 1, m, dtype=np.int32), pa.array(own.ravel()))
+                pivot, angle = home(unit(matrix(v)), pivots_for(fitted, int(d)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(v) * keep, d), pa.int32()), pa.array(own[:, :keep].ravel(), pa.int32()),
-                    b.column("rep").take(rows).take(each), b.column("copies").take(rows).take(each), v.take(each), post.take(each),
-                ], names=["dim", "pivot", "rep", "copies", "v", "own"])
+                    pa.array(np.full(len(v), d), pa.int32()), pa.array(pivot), pa.array((angle > 2 * ANGLE).astype(np.int32)), pa.array(angle),
+                    b.column("rep").take(rows), b.column("copies").take(rows), v,
+                ], names=["dim", "pivot", "far", "angle", "rep", "copies", "v"])
     return run
 
 
+def may_link(pivots: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which lists (pivot's number, least and greatest angle) can hold a link between them."""
+    between = np.arccos(np.clip(pivots[at] @ pivots[at].T, -1, 1))
+    r = ANGLE + ANGLE_SLACK
+    # a member of one list is at least its own least angle from the other list's pivot
+    return (between <= most[:, None] + most + r) & (least <= most[:, None] + r) & (least[:, None] <= most + r)
+
+
+def pools(fitted: dict[int, np.ndarray], lists: list) -> tuple[list[tuple], list[tuple]]:
+    """Lists' pools (dim, pivot, far, pool, blocks), and pools that meet (pool, other, blocks of the other)."""
+    placed, meet, first = [], [], 0
+    for d in sorted({x["dim"] for x in lists}):
+        own = sorted((x for x in lists if x["dim"] == d), key=lambda x: (x["far"], x["pivot"]))
+        of, rows = [], []
+        for k, x in enumerate(own):  # a pool takes lists of one part until it has a block
+            if not rows or rows[-1] + x["n"] > BLOCK or x["far"] != own[k - 1]["far"]:
+                rows.append(0)
+            rows[-1] += x["n"]
+            of.append(len(rows) - 1)
+        blocks = [-(-n // BLOCK) for n in rows]
+        may = may_link(pivots_for(fitted, d), *(np.array([x[k] for x in own]) for k in ("pivot", "least", "most")))
+        starts = np.searchsorted(of, np.arange(len(rows)))
+        may = np.logical_or.reduceat(np.logical_or.reduceat(may, starts, axis=0), starts, axis=1)
+        placed += [(d, x["pivot"], x["far"], first + o, blocks[o]) for x, o in zip(own, of, strict=True)]
+        meet += [(first + int(a), first + int(b), blocks[b]) for a, b in zip(*np.nonzero(may), strict=True)]
+        first += len(rows)
+    return placed, meet
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each pair of blocks of a list: (id, links found here, least id of its tree here)."""
-    for t in R.row_groups(batches, ["dim", "pivot", "lo", "hi"]):
+    """For each pair of blocks: (id, links found here, least row of its tree here)."""
+    for t in R.row_groups(batches, ["lo_pool", "lo", "hi_pool", "hi"]):
         t = t.combine_chunks()
-        ids, copies, block = (t.column(k).to_numpy() for k in ("rep", "copies", "block"))
-        lo, hi, pivot = (t.column(k)[0].as_py() for k in ("lo", "hi", "pivot"))
-        x = unit(matrix(t.column("v").chunk(0)))
-        own = t.column("own").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
-        m = own.shape[1]
-        keep = max(1, m - SHARED + 1)
-        left = np.flatnonzero(block == lo)
-        right = np.flatnonzero(block == hi) if lo != hi else left
-        shared = np.zeros((len(left), len(right)), dtype=np.uint8)
-        for i in range(m):
-            for j in range(m):
-                shared += own[left, i, None] == own[None, right, j]
-        a, b = np.nonzero(shared >= min(SHARED, m))
-        a, b = left[a], right[b]
-        if lo == hi:
-            a, b = a[a < b], b[a < b]
-        n, count, root = len(ids), np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
-        pairs = []
-        for s in range(0, len(a), 1 << 16):
-            i, j = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-            ok = np.einsum("ij,ij->i", x[i], x[j]) >= THRESHOLD
-            i, j = i[ok], j[ok]
-            # the list stands first among those of both: no smaller pivot is in both postings
-            before = ((own[i, :keep, None] == own[j, None, :keep]) & (own[i, :keep, None] < pivot)).any(axis=(1, 2))
-            i, j = i[~before], j[~before]
-            count += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
-            pairs.append((i, j))
-        i, j = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
-        while True:  # least row number of each tree
-            was = root.copy()
-            np.minimum.at(root, i, was[j])
-            np.minimum.at(root, j, was[i])
-            root = root[root]
-            if (root == was).all():
-                break
+        ids, copies, low = (t.column(k).to_numpy() for k in ("rep", "copies", "low"))
+        across = (t.column("lo_pool")[0], t.column("lo")[0]) != (t.column("hi_pool")[0], t.column("hi")[0])
+        x, many = unit(matrix(t.column("v").chunk(0))), copies.astype(np.float64)
+        left = np.flatnonzero(low)
+        right = np.flatnonzero(~low) if across else left
+        count, root = np.zeros(len(ids)), np.arange(len(ids))
+        other = x[right].T
+        for s in range(0, len(left), TILE):
+            rows = left[s : s + TILE]
+            near = x[rows] @ other
+            ok = near >= THRESHOLD
+            i, j = np.nonzero(np.abs(near - THRESHOLD) < COSINE_SLACK)  # decided alike in both orders
+            ok[i, j] = np.einsum("ij,ij->i", x[rows[i]], x[right[j]]) >= THRESHOLD
+            if not across:
+                ok[np.arange(len(rows)), np.arange(s, s + len(rows))] = False
+            on = np.flatnonzero(ok.any(axis=1))
+            if not len(on):
+                continue
+            rows, ok = rows[on], ok[on]
+            count[rows] += ok @ many[right]
+            if across:
+                count[right] += many[rows] @ ok
+            for k, i in enumerate(rows):  # least row number of each tree
+                own = root[right[ok[k]]]
+                least = min(root[i], own.min())
+                if root[i] != least or (own != least).any():
+                    root[np.isin(root, np.append(own, root[i]))] = least
         on = np.flatnonzero(count)
         if len(on):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[on], pa.int64()), pa.array(count[on], pa.int64()), pa.array(ids[root[on]], pa.int64())], names=["id", "links", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[on], pa.int64()), pa.array(count[on].astype(np.int64)), pa.array(ids[root[on]], pa.int64())], names=["id", "links", "to"])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 4096, most_pivots: int = 1024) -> DataFrame:
@@ -146,14 +166,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = cut(own.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     fitted = fit_pivots(classes, sample, most_pivots)
     posted = cut(classes.select("rep", "copies", "v").mapInArrow(
-        _post(fitted), "dim int, pivot int, rep long, copies long, v array<double>, own array<int>"))
-    lists = posted.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # at most most_pivots rows a length
-    spread = posted.join(lists, ["dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("rep", "pivot"), F.col("blocks").cast("long")).cast("int"))
-    placed = spread.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "dim", "pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "copies", "v", "own")
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["dim", "pivot", "lo", "hi"]
-    found = cut(placed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare, "id long, links long, to long"))
+        _post(fitted), "dim int, pivot int, far int, angle double, rep long, copies long, v array<double>"))
+    lists = posted.groupBy("dim", "pivot", "far").agg(F.count("*").alias("n"), F.min("angle").alias("least"), F.max("angle").alias("most")).collect()  # at most 2 * most_pivots rows a length
+    placed, meet = pools(fitted, lists)
+    spark = vectors.sparkSession
+    spread = posted.join(spark.createDataFrame(placed, "dim int, pivot int, far int, pool int, blocks int"), ["dim", "pivot", "far"]).select(
+        "pool", F.pmod(F.xxhash64("rep", "pool"), F.col("blocks").cast("long")).cast("int").alias("block"), "rep", "copies", "v")
+    met = spread.join(spark.createDataFrame(meet, "pool int, other_pool int, others int"), "pool").withColumn("other", F.explode(F.expr("sequence(0, others - 1)")))
+    low = (F.col("pool") < F.col("other_pool")) | ((F.col("pool") == F.col("other_pool")) & (F.col("block") <= F.col("other")))
+    pair = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
+    both = met.select(pair("pool", "other_pool").alias("lo_pool"), pair("block", "other").alias("lo"), pair("other_pool", "pool").alias("hi_pool"), pair("other", "block").alias("hi"), low.alias("low"), "rep", "copies", "v")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["lo_pool", "lo", "hi_pool", "hi"]
+    found = cut(both.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare, "id long, links long, to long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     of_class = classes.select("v", "rep", (F.col("copies") - 1).alias("own")).join(links, F.col("rep") == links["id"], "left").drop("id").join(

@@ -250,3 +250,14 @@ def test_empty_tables(spark):
     path, pattern = byte_bpe.public_vocabulary()
     for df in (near_text.near_duplicates(none), near_vectors.near_duplicates(none), licenses.license_report(none), byte_bpe.digests(none, path, pattern), media_avi.digests(none), urls.judge(none), chat.digests(chat.windows(none))):
         assert df.collect() == []
+
+
+def test_near_vectors_dense_group_loses_no_link(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((6000, 64))
+    x[:2000] = rng.standard_normal(64) + 0.2 * rng.standard_normal((2000, 64))  # mean cosine .96: links and near misses
+    got = {r["vec_id"]: r for r in rows(near_vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")))}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    c = u @ u.T >= 0.95
+    want = least(range(6000), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(c, 1)), strict=True)])
+    assert all(got[i]["n_links"] == c[i].sum() - 1 and got[i]["component_id"] == want[i] for i in range(6000))
