@@ -2,9 +2,10 @@
 
 All rolling word bigrams of every text are hashed and joined to the places of the templates' bigrams (a fixed,
 small table). Each match votes for its offset diagonal, text place minus template place. Votes are summed by
-diagonal, neighbouring diagonals (words inserted or left out) are merged, and a merged span is verified: the
-share of the template's bigrams that it holds, and its length. Matched bigrams are compared as words too, so a
-hash collision casts no vote. Bigrams without a word of five letters or more are so common that they don't vote.
+diagonal, and each diagonal takes the votes of those near it (words inserted or left out), so a span can't grow
+beyond the notice and its drift. A span is verified by the share of all the notice's bigrams that it holds and by
+the bigrams that tell the notice from others, all of which it must hold. Matched bigrams are compared as words too,
+so a hash collision casts no vote.
 
 Base labels come from exact phrases, whose spans must hold all bigrams on one diagonal.
 
@@ -36,9 +37,16 @@ NOTICES = {
 }
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Diagonals at most this far apart are one span.
-SLACK = 3
-#: Least share of a notice's voting bigrams in a verified span.
+# Bigrams without which a text is another licence, or none.
+TELLING = {
+    "mit-notice": ("associated documentation",), "apache-notice": ("apache license",), "apache-line": ("apache license",),
+    "gpl-notice": ("gnu general",), "gpl-line": ("gnu general",), "mit-line": ("mit license",), "bsd-notice": ("redistribution and",),
+    "cc-by-nc": ("by nc", "nc 4"), "mpl-notice": ("mozilla public",),
+}
+
+#: A diagonal takes the votes of those at most half the notice's bigrams away, within these bounds.
+SLACK, MOST_SLACK = 3, 8
+#: Least share of a notice's bigrams in a verified span.
 LEAST_COVERAGE = 0.6
 
 
@@ -49,16 +57,27 @@ def word_array(text: Column) -> Column:
 
 
 def templates(spark, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """One row for each voting bigram of each template, and one for the marker that every text ends with."""
+    """One row for each bigram of each template, and one for the marker that every text ends with."""
     rows = ["('', '', 0, 0, '', '', CAST(0 AS BIGINT))"]
     for kind, items in (("base", phrases.items()), ("own", ((v, k) for k, v in notices.items()))):
         for text, label in items:
             w = text.split()
-            pairs = [(i, a, b) for i, (a, b) in enumerate(zip(w[:-1], w[1:], strict=True)) if kind == "base" or max(len(a), len(b)) >= 5]
+            pairs = [(i, a, b) for i, (a, b) in enumerate(zip(w[:-1], w[1:], strict=True))]
             rows += [f"('{kind}', '{label}', {len(pairs)}, {i}, '{a}', '{b}', xxhash64('{a}', '{b}'))" for i, a, b in pairs]
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(kind, label, bigrams, at, w1, w2, gram)")
 
 
+def holds_telling(votes: Column, notices: dict[str, str]) -> Column:
+    """Whether the votes hold each of the telling bigrams of the notice ``label``."""
+    out = F.lit(True)
+    for label, text in notices.items():
+        w = text.split()
+        for t in TELLING.get(label, ()):
+            places = [i for i in range(len(w) - 1) if f"{w[i]} {w[i + 1]}" == t]
+            out = out & ((F.col("label") != label) | F.arrays_overlap(votes, F.array(*map(F.lit, places))))
+    return out
+
+
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """(row, id, n_words, kind, label, start, end, coverage, verified): candidate spans, and one row of kind '' for every text."""
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), word_array(F.col(text_col)).alias("w"))
@@ -73,14 +92,16 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "row", "id", F.when(F.col("kind") == "", F.size("w")).otherwise(0).alias("words"), "kind", "label", "bigrams", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
     lines = hits.groupBy("row", "id", "kind", "label", "bigrams", "diagonal").agg(
         F.max("words").alias("words"), F.collect_set("at").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
-    order = Window.partitionBy("row", "id", "kind", "label", "bigrams").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(1 << 30)) > F.when(F.col("kind") == "own", SLACK).otherwise(0)
-    merged = lines.withColumn("span", F.sum(apart.cast("int")).over(order)).groupBy("row", "id", "kind", "label", "bigrams", "span").agg(
-        F.max("words").cast("long").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("votes")))).alias("votes"),
-        F.min(F.col("diagonal") + F.col("first")).alias("start"), F.max(F.col("diagonal") + F.col("last") + 2).alias("end"))
+    near = Window.partitionBy("row", "id", "kind", "label", "bigrams").orderBy("diagonal").rangeBetween(-MOST_SLACK, MOST_SLACK)
+    slack = F.when(F.col("kind") == "own", F.greatest(F.lit(SLACK), F.least(F.lit(MOST_SLACK), F.floor(F.col("bigrams") / 2)))).otherwise(0)
+    taken = lines.withColumn("near", F.collect_list(F.struct("diagonal", "votes", "first", "last")).over(near)).withColumn("slack", slack)
+    taken = taken.withColumn("near", F.filter("near", lambda x: F.abs(x["diagonal"] - F.col("diagonal")) <= F.col("slack")))
+    merged = taken.withColumn("held", F.array_distinct(F.flatten("near.votes"))).select(
+        "row", "id", "kind", "label", "bigrams", "held", F.col("words").cast("long").alias("n_words"), F.size("held").alias("votes"),
+        F.array_min(F.transform("near", lambda x: x["diagonal"] + x["first"])).alias("start"), F.array_max(F.transform("near", lambda x: x["diagonal"] + x["last"] + 2)).alias("end"))
     coverage = F.when(F.col("kind") == "", 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(F.col("votes"), F.col("bigrams"))))
     good = F.when(F.col("kind") == "base", F.col("votes") == F.col("bigrams")).otherwise(
-        (F.col("kind") == "own") & (coverage >= LEAST_COVERAGE) & (F.col("end") - F.col("start") <= 3 * F.col("bigrams") + 2 * SLACK))
+        (F.col("kind") == "own") & (coverage >= LEAST_COVERAGE) & holds_telling(F.col("held"), notices))
     return merged.select("row", "id", "n_words", "kind", "label", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), coverage.alias("coverage"), good.alias("verified"))
 
 
