@@ -157,3 +157,10 @@ def test_pipeline_takes_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, SF).cache()
         now.count()
+
+
+@pytest.mark.parametrize("shares", [(0.01, 0.0005, 0.985, 0.0045), (0.002, 0.0002, 0.9968, 0.001)])
+def test_mixing_meets_targets_on_skewed_shares(shares):
+    t = np.array(list(mixing.TARGETS.values()))
+    residual, rate = mixing.solve_rates(np.array(shares), np.eye(4), t)
+    assert np.allclose(np.array(shares) * rate, t, rtol=0.011) and np.allclose(np.array(shares) * rate / t - 1, residual, atol=1e-6)
