@@ -8,13 +8,23 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+
+#: Bytes of one Arrow batch on its way to Python, where the session sets no limit: long texts make small batches.
+ARROW_BYTES = "16m"
+#: Keys whose rows are joined by a broadcast table, and the rows that a key must have for that.
+HOT_KEYS, HOT_ROWS = 1024, 100
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. A local session may do without; a cluster may not."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -22,8 +32,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whose Python may not find it otherwise."""
+    """Send this package to the executors, whose Python may not find it otherwise, and bound Arrow batches by bytes."""
     sc = spark.sparkContext
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit) == "67108864b":  # unset
+        spark.conf.set(limit, ARROW_BYTES)
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -39,6 +52,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+_caches: list[dict] = []
+
+
+def one_cache(own: dict) -> None:
+    """A worker process lives through many stages: it keeps the cache of one operator, the one that runs."""
+    for c in _caches:
+        if c is not own:
+            c.clear()
+    _caches[:] = [own]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there, so that lost executors cost one stage at most."""
     checkpoint_dir(df.sparkSession)
@@ -56,27 +80,97 @@ def remainder(col: str, n: int):
     return F.crc32(F.col(col).cast("string")) % F.lit(n)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def join_hot(many: DataFrame, one: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """``many`` joined by ``key`` to ``one``, a table of one row for each non-null key, whatever the skew of ``many``.
+
+    ``rows`` is the column of ``one`` with the key's number of rows in ``many`` (it is dropped). The HOT_KEYS keys with
+    the most rows are broadcast, so of the keys that are shuffled none has more than 1 / HOT_KEYS of all rows.
+    Rows with a null key match nothing and aren't shuffled. how: inner or left. ``one`` is evaluated twice.
+    """
+    hot = one.where(F.col(rows) >= HOT_ROWS).orderBy(F.desc(rows), key).limit(HOT_KEYS).collect()
+    one = one.drop(rows)
+    order = [*many.columns, *(c for c in one.columns if c != key)]
+    known = many.where(F.col(key).isNotNull())
+    if hot:
+        names = [c for c in one.columns if c != key]
+        with_hot = many.sparkSession.createDataFrame([(*(r[c] for c in one.columns), True) for r in hot], StructType([*one.schema, StructField("__hot", BooleanType())]))
+        tried = known.join(F.broadcast(with_hot), key, "left")
+        rest = tried.where("__hot is null").drop("__hot", *names).join(one, key, how)
+        out = tried.where("__hot").select(*order).union(rest.select(*order))
+    else:
+        out = known.join(one, key, how).select(*order)
+    if how == "left":
+        out = out.unionByName(many.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out
+
+
+_caches: list[dict] = []
+
+
+def one_cache(own: dict) -> None:
+    """A worker process lives through many stages: it keeps the cache of one operator, the one that runs."""
+    for c in _caches:
+        if c is not own:
+            c.clear()
+    _caches[:] = [own]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from there, so that lost executors cost one stage at most."""
+    checkpoint_dir(df.sparkSession)
+    ship(df.sparkSession)
+    return df.checkpoint(True)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def remainder(col: str, n: int):
+    """crc32 of the column as text, mod n (null where the column is null)."""
+    return F.crc32(F.col(col).cast("string")) % F.lit(n)
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """``many`` joined by ``key`` to ``one``, a table of one row for each non-null key, whatever the skew of ``many``.
+
+    ``rows`` is the column of ``one`` with the key's number of rows in ``many`` (it is dropped). The HOT_KEYS keys with
+    the most rows are broadcast, so of the keys that are shuffled none has more than 1 / HOT_KEYS of all rows.
+    Rows with a null key match nothing and aren't shuffled. how: inner or left.
+    """
+    hot = one.where(F.col(rows) >= HOT_ROWS).orderBy(F.desc(rows), key).limit(HOT_KEYS)
+    with_hot = F.broadcast(hot.drop(rows).withColumn("__hot", F.lit(True)))
+    tried = many.join(with_hot, key, "left")
+    names = [c for c in one.columns if c not in (key, rows)]
+    done = tried.where("__hot").drop("__hot")
+    rest = tried.where(F.col("__hot").isNull() & F.col(key).isNotNull()).drop("__hot", *names).join(one.drop(rows), key, how)
+    out = done.select(*rest.columns).union(rest)
+    return out.unionByName(tried.where(F.col(key).isNull()).drop("__hot").select(*rest.columns)) if how == "left" else out
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 1000) -> DataFrame:
     """Connected components of an undirected edge list by alternating large-star and small-star.
 
     Returns (id, component) for every node that has an edge; component is the smallest id reachable.
-    A node's neighbours are only ever aggregated with ``min`` (combined before the shuffle) and joined,
-    so no node's neighbourhood is collected. Each round is checkpointed.
+    A node's neighbours are only ever aggregated with ``min`` (combined before the shuffle) and joined, hubs by
+    broadcast, so no node's neighbourhood is collected. Each round is checkpointed; rounds grow with the logarithm
+    of the longest path.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    state = lambda: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = state()
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         # large star: every larger neighbour is tied to the least of the neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours are tied to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, least, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if (now := state()) == seen:
             return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
                 e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         seen = now
