@@ -148,7 +148,7 @@ def test_byte_bpe_ids_and_long_pieces(spark):
     import tiktoken
 
     path, pattern = byte_bpe.public_vocabulary()
-    bpe = byte_bpe.Bpe(path, pattern)
+    bpe = byte_bpe.Bpe(byte_bpe.load_ranks(path), pattern)
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks, special_tokens={})
     for t in ("a" * 5000, "ab" * 3000, "漢字" * 800, "".join("abcd"[(i * i) % 4] for i in range(9000))):
         assert bpe.encode(t) == enc.encode_ordinary(t) and bpe.decode(bpe.encode(t)) == t.encode()
