@@ -1,48 +1,77 @@
 """Language ID by a linear-chain conditional random field over words.
 
-A word's emission is the sum of the weights of its hashed features: itself (lexicon), its affixes of up to four
+A word is a run of letters; of a longer run (scripts without spaces) each 64 letters are a word. A word's emission is the sum of the weights of its hashed features: itself (lexicon), its affixes of up to four
 letters and its letter bigrams and trigrams. Transitions between languages are learned. Training texts are
 spliced from stretches of labelled documents, so that languages switch within them. Posteriors of every word
 come from forward-backward, which runs over all words of a batch of texts at once: texts are cut into blocks of
 words, the blocks' transfer matrices are multiplied within all blocks in step, chained by text, and applied back.
 A text's language is the one with the greatest sum of posteriors, and its score the mean posterior of it.
 
-Fitted on at most ``train_docs`` labelled rows; everything else covers all rows, whole texts. Defined results: a
-null text or one without a letter is ``und`` with score 0; ties go to the language first in order; without any
-labelled row every text is ``und``.
+Fitted on at most ``train_docs`` labelled rows, dealt to the languages in turn, so that a rare one is learned too;
+everything else covers all rows, whole texts. Defined results: a null text or one without a letter is ``und`` with
+score 0; ties go to the language first in order; without any labelled row every text is ``und``; a row with a null
+id is predicted and teaches nothing; repeated rows are predicted each on its own, and an id teaches once; columns
+that aren't asked for are ignored, and those asked for may not be named lang_pred or score.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from . import ragged as R
+from .common import one_cache, remainder, ship, table
 
-TRAIN_DOCS, BUCKETS, STEPS, BATCH, LENGTH = 1500, 1 << 15, 200, 48, 40
+TRAIN_DOCS, BUCKETS, STEPS, BATCH, LENGTH = 1600, 1 << 15, 200, 48, 40
 #: Words of a block, words handled at once, and emissions that a worker keeps.
-BLOCK, WORDS, KEEP = 32, 100_000, 150_000
+BLOCK, WORDS, KEEP = 32, 100_000, 200_000
+#: Letters of a word at most.
+PIECE = 64
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case; none if the text has no letter."""
+    """Runs of letters in lower case, longer ones in pieces; none if the text has no letter."""
     found = LETTERS.findall(text.lower()) if text else []
-    return found if any(map(str.isalpha, found)) or any(c.isalpha() for w in found for c in w) else []
-
-
-def feature_ids(word: str) -> list[int]:
-    w = word[:64].encode()
-    b = b"^" + w + b"$"
-    found = [b"=" + w, *(b"<" + w[:k] for k in range(1, 5)), *(b">" + w[-k:] for k in range(1, 5)), *(b[i : i + 2] for i in range(len(b) - 1)), *(b"3" + b[i : i + 3] for i in range(len(b) - 2))]
-    return [crc32(x) & (BUCKETS - 1) for x in found]
+    if not any(map(str.isalpha, found)) and not any(c.isalpha() for w in found for c in w):
+        return []
+    if max(map(len, found)) > PIECE:
+        found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
+    return found
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of each word, one after another, and the n + 1 bounds of the words."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    ends = np.cumsum(size + 2) - 1  # a word stands between ^ and $
+    starts = ends - size
+    data = np.frombuffer(b"".join(b"^%s$" % w for w in raw), dtype=np.uint8)
+    x = data.astype(np.uint64)
+    row = np.repeat(np.arange(len(raw)), size + 2)
+    codes, rows = [R.word_hashes(data, starts, ends)], [np.arange(len(raw))]
+    two = x[:-1] << R.U(8) | x[1:]
+    for kind, code in ((1, two), (2, two[:-1] << R.U(8) | x[2:])):  # letter bigrams and trigrams, as bytes
+        inside = np.flatnonzero(row[: len(code)] == row[len(x) - len(code) :])
+        codes.append(code[inside] | R.U(kind << 56))
+        rows.append(row[inside])
+    for kind, at, step in ((3, starts, 1), (4, ends - 1, -1)):  # affixes
+        code = np.zeros(len(raw), dtype=np.uint64)
+        for k in range(4):
+            on = np.flatnonzero(size > k)
+            code[on] = code[on] << R.U(8) | x[at[on] + step * k]
+            codes.append(code[on] | R.U((kind << 56) + (k << 48)))
+            rows.append(on)
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    ids = (R.mix(np.concatenate(codes))[order] & R.U(BUCKETS - 1)).astype(np.int64)
+    return ids, np.searchsorted(row[order], np.arange(len(raw) + 1))
 
 
 def posteriors(e: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -106,15 +135,22 @@ class Crf:
         self.w = np.zeros((BUCKETS, len(labels)))
         self.trans = np.zeros((len(labels), len(labels)))
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.w[feature_ids(word)].sum(axis=0)
+    def emissions(self, words: list[str], step: int = 8192) -> np.ndarray:
+        """(words, labels)."""
+        out = [np.zeros((0, len(self.labels)))]
+        for i in range(0, len(words), step):
+            ids, bounds = features(words[i : i + step])
+            out.append(np.add.reduceat(self.w[ids], bounds[:-1], axis=0))
+        return np.concatenate(out)
 
     def fit(self, texts: list[list[str]], y: list[int], seed: int = 3) -> Crf:
         """Stochastic gradient of the log likelihood of spliced texts (Adagrad)."""
         rng = np.random.default_rng(seed)
         by = [[t for t, k in zip(texts, y, strict=True) if k == i] for i in range(len(self.labels))]
         g2_w, g2_t = np.full_like(self.w, 1e-3), np.full_like(self.trans, 1e-1)
-        ids: dict[str, list[int]] = {}
+        seen = sorted({w for t in texts for w in t})
+        number = {w: i for i, w in enumerate(seen)}
+        ids, of_word = features(seen)
         for _ in range(STEPS):
             words, gold = [], []
             for _ in range(BATCH):
@@ -128,9 +164,10 @@ class Crf:
                     left -= n
                     k = int(rng.integers(len(by)))
             bounds = np.arange(0, len(words) + 1, LENGTH)
-            f = [ids.get(w) or ids.setdefault(w, feature_ids(w)) for w in words]
-            size = np.array([len(i) for i in f])
-            flat, row = np.concatenate(f), np.repeat(np.arange(len(f)), size)
+            at = np.array([number[w] for w in words])
+            size = of_word[at + 1] - of_word[at]
+            row = np.repeat(np.arange(len(at)), size)
+            flat = ids[np.repeat(of_word[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             e = np.zeros((len(words), len(self.labels)))
             np.add.at(e, row, self.w[flat])
             gold_a = np.array(gold)
@@ -174,22 +211,25 @@ class Emissions(dict):
         self.crf, self.rows = crf, np.empty((1024, len(crf.labels)))
         self.old, self.old_rows = {}, self.rows
 
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-        was = self.old.get(word)
-        self.rows[k] = self.crf.emission(word) if was is None else self.old_rows[was]
-        self[word] = k
-        return k
-
     def of(self, words: list[str]) -> np.ndarray:
         if len(self) > KEEP:
             self.old, self.old_rows = dict(self), self.rows
             self.clear()
             self.rows = np.empty((1024, len(self.crf.labels)))
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.rows[at]
+        unseen = [w for w in dict.fromkeys(words) if w not in self]
+        if unseen:
+            k, n = len(self), len(self) + len(unseen)
+            if n > len(self.rows):
+                more = np.empty((max(n, 2 * len(self.rows)), self.rows.shape[1]))
+                more[:k] = self.rows[:k]
+                self.rows = more
+            was = np.array([self.old.get(w, -1) for w in unseen])
+            new = np.empty((len(unseen), self.rows.shape[1]))
+            new[was >= 0] = self.old_rows[was[was >= 0]]
+            new[was < 0] = self.crf.emissions([w for w, i in zip(unseen, was.tolist(), strict=True) if i < 0])
+            self.rows[k:n] = new
+            self.update(zip(unseen, range(k, n), strict=True))
+        return self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
 _kept: dict[bytes, Emissions] = {}
@@ -197,6 +237,7 @@ _kept: dict[bytes, Emissions] = {}
 
 def emissions_for(crf: Crf) -> Emissions:
     """One cache a model and worker process."""
+    one_cache(_kept)
     key = crf.trans.tobytes()
     if key not in _kept:
         _kept.clear()
@@ -210,9 +251,11 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, held_out: int | None =
     if held_out is not None:
         seen = seen.where(remainder("doc_id", 3) != held_out)
     h = F.xxhash64("doc_id")
-    ids = seen.where("doc_id is not null").select("doc_id").distinct().orderBy(h, "doc_id").limit(train_docs)
-    texts_of = seen.join(F.broadcast(ids), "doc_id", "left_semi")  # train_docs ids at most; no text is sent that isn't drawn
-    drawn = texts_of.select("lang", "text", h.alias("h")).orderBy("h", "text").limit(train_docs).toArrow()
+    own = seen.where("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("h"), F.col("doc_id")))
+    ids = own.withColumn("h", h).withColumn("turn", turn).where(F.col("turn") <= train_docs).orderBy("turn", "h", "doc_id").limit(train_docs).select("doc_id", "lang")
+    texts_of = seen.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # train_docs ids at most; no text is sent that isn't drawn
+    drawn = texts_of.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).orderBy(h, "doc_id").toArrow()
     texts, y = [], []
     labels = sorted(set(drawn.column("lang").to_pylist()))
     for lang, text in zip(drawn.column("lang").to_pylist(), drawn.column("text").to_pylist(), strict=True):
@@ -258,6 +301,7 @@ def predict(docs: DataFrame, crf: Crf, keep: list[str], text_col: str = "text")
                         lang[k], score[k] = crf.labels[a], float(min(1.0, total[a] / n))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
+    ship(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
     return own.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
@@ -275,9 +319,10 @@ def label_words(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(w), pa.int64()), pa.array(np.arange(len(w))), pa.array(w, pa.string()), pa.array([crf.labels[k] for k in best], pa.string()), pa.array(g.max(axis=1))], names=["doc_id", "word_no", "word", "lang", "posterior"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ship(docs.sparkSession)
     return own.mapInArrow(run, "doc_id long, word_no long, word string, lang string, posterior double")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, train(docs), ["doc_id"]).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return predict(docs, train(docs), ["doc_id"]).select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
