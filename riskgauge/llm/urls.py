@@ -1,11 +1,13 @@
 """URL filters: rules where one fits, else gradient-boosted trees on lexical features.
 
 Features: length, host and path length, host labels, path depth, digit ratio, byte entropy, parameters, hyphens,
-scheme, and the smoothed block rate of the host's last label (suffix statistics). The trees are trained with
-logistic loss on at most ``train_rows`` labelled urls, which the rules label; every url is judged.
+and suffix statistics: the smoothed block rates of the host's last label, its last two, and the path's file ending.
+The trees are trained with logistic loss on at most ``train_rows`` distinct labelled urls, which the rules label;
+every url is judged.
 
 Defined results: a null url, or one without "://", has empty host and path and no rule; a null rule verdict goes
-to the trees; where no labelled url exists, the trees allow; repeated rows are judged each on its own.
+to the trees; where no labelled url exists, the trees allow; repeated rows are judged each on its own, and teach once;
+rows with a null id are judged; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as R
-from .common import table
+from .common import ship, table
 
 # Verdict and rule.
 RULES = (
@@ -73,19 +75,22 @@ def features(url: pa.Array, host: pa.Array, path: pa.Array) -> np.ndarray:
     ]).astype(np.float64)
 
 
-def last_label(hosts: list[str]) -> list[str]:
-    return [h.rpartition(".")[2] for h in hosts]
+def suffixes(hosts: list[str], paths: list[str]) -> list[list[str]]:
+    """The host's last label, its last two, and the ending of the path's last part (at most 8 characters, else none)."""
+    ends = [p.rpartition("/")[2].rpartition(".") for p in paths]
+    return [[h.rpartition(".")[2] for h in hosts], [".".join(h.split(".")[-2:]) for h in hosts], [e if dot and len(e) <= 8 else "" for _, dot, e in ends]]
 
 
 class Trees:
     """Trees of equal depth: at each level one threshold for each node, and a value for each leaf."""
 
-    def __init__(self, base: float, suffix: dict[str, float], trees: list) -> None:
-        self.base, self.suffix, self.trees = base, suffix, trees
+    def __init__(self, base: float, rates: list[dict[str, float]], trees: list) -> None:
+        self.base, self.rates, self.trees = base, rates, trees
 
     def matrix(self, url: pa.Array, host: pa.Array, path: pa.Array) -> np.ndarray:
-        rate = [self.suffix.get(x, self.suffix.get("", 0.5)) for x in last_label(host.to_pylist())]
-        return np.column_stack([features(url, host, path), rate])
+        prior = 1 / (1 + np.exp(-self.base))
+        rate = [[r.get(x, prior) for x in names] for r, names in zip(self.rates, suffixes(host.to_pylist(), path.to_pylist()), strict=True)]
+        return np.column_stack([features(url, host, path), *rate])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.base)
@@ -101,11 +106,13 @@ class Trees:
 def fit(url: pa.Array, host: pa.Array, path: pa.Array, y: np.ndarray) -> Trees:
     """Boosted trees by histograms of gradients, second-order leaf values."""
     if not len(y):
-        return Trees(-1.0, {}, [])
-    names = np.array(last_label(host.to_pylist()))
-    prior = y.mean()
-    suffix = {str(s): float((y[names == s].sum() + 10 * prior) / ((names == s).sum() + 10)) for s in np.unique(names)} | {"": float(prior)}
-    model = Trees(float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), suffix, [])
+        return Trees(-1.0, [{}] * 3, [])
+    prior, rates = y.mean(), []
+    for names in suffixes(host.to_pylist(), path.to_pylist()):
+        known, at = np.unique(np.array(names), return_inverse=True)
+        n, blocked = np.bincount(at), np.bincount(at, y)
+        rates.append({str(k): float((b + 10 * prior) / (m + 10)) for k, b, m in zip(known, blocked, n, strict=True)})
+    model = Trees(float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), rates, [])
     x = model.matrix(url, host, path)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     binned = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)])
@@ -139,7 +146,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     u = F.col(url_col).cast("string")
     own = pages.select(F.col(id_col).alias("page_id"), u.alias("url"), host_of(u).alias("host"), path_of(u).alias("path"))
     own = own.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    drawn = own.where("rule is not null").select("url", "host", "path", "rule").orderBy(F.xxhash64("url"), "url").limit(train_rows).toArrow().combine_chunks()
+    drawn = own.where("rule is not null").select("url", "host", "path", "rule").distinct().orderBy(F.xxhash64("url"), "url").limit(train_rows).toArrow().combine_chunks()
     verdict = {r: v for v, r in rules}
     y = np.array([verdict[r] == "block" for r in drawn.column("rule").to_pylist()], dtype=np.float64)
     cols = [drawn.column(c).combine_chunks() if len(y) else pa.array([], pa.string()) for c in ("url", "host", "path")]
@@ -151,6 +158,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
             verdicts = [verdict[r] if r is not None else "block" if s >= 0.5 else "allow" for r, s in zip(b.column("rule").to_pylist(), score, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(score)], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
+    ship(pages.sparkSession)
     kind = own.schema["page_id"].dataType.simpleString()
     return own.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
