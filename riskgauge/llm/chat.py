@@ -1,13 +1,18 @@
 """Chat formatting in budgeted windows, in DataFrame operations only.
 
-Prefix sums of turn tokens deal a conversation's turns to stretches of ``(budget - history) / 2`` tokens; a
-window is the turns that start in one stretch, so it keeps the budget whenever no turn is longer than a stretch.
-Every window opens with the conversation's leading system turn and repeats at most ``history`` tokens of the
-window before; both are context, and only assistant texts that are new in a window are under its loss mask, so
-each is a target once. Control strings inside roles and texts are escaped reversibly.
+Prefix sums of turn tokens deal a conversation's turns to stretches of half the budget that the leading system turn
+and the history leave; a window is the turns that start in one stretch. Every window opens with that system turn and
+repeats at most ``history`` tokens of the window before; both are context, and only assistant texts that are new in a
+window are under its loss mask, so each is a target once. Control strings inside roles and texts are escaped
+reversibly.
+
+Tokens are counted by UTF-8 bytes of the formatted turn, marks included: no byte-level tokenizer makes more tokens
+than bytes, so no window that is within the budget here is over it there. Turns are never split: a window is over the
+budget (``over_budget``) only if it holds a turn longer than a stretch, or if the system turn leaves no room.
 
 Defined results: a null text or role is empty; turns with equal numbers are ordered by role, then text, and a
-null number comes first; rows with a null conv_id are one conversation; every conversation gives a window.
+null number comes first; rows with a null conv_id are one conversation; every conversation gives a window; repeated
+rows are turns of their own; other columns are ignored; an empty table gives no window.
 A conversation's digest needs its whole text in one row, as its SHA-256 is of that text; all else is by window.
 """
 
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
-BUDGET, HISTORY = 2048, 256
+BUDGET, HISTORY = 8192, 1024
 
 
 def escaped(c: Column) -> Column:
@@ -33,23 +38,22 @@ def unescaped(c: Column) -> Column:
     return c
 
 
-def tokens(text: Column) -> Column:
-    """An upper estimate that needs no vocabulary: four characters a token, and four for a turn's marks."""
-    return F.ceil(F.length(text) / 4).cast("long") + 4
-
-
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """(conv_id, window, formatted, n_context, loss_spans array<struct<start, length>>); places are code points from 0."""
-    stretch = max(1, (budget - history) // 2)
+    """(conv_id, window, formatted, n_context, loss_spans array<struct<start, length>>, n_tokens, over_budget).
+
+    Places are code points from 0; n_tokens is the upper bound that the budget is held against.
+    """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     t = t.withColumn("pos", F.row_number().over(order))
+    role = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("&#10;"))
+    t = t.withColumn("open", F.concat(F.lit(START), role, F.lit("\n"))).withColumn("body", escaped(F.col("text")))
+    size = F.octet_length("open") + F.octet_length("body") + len(END) + 1
     system = (F.col("pos") == 1) & (F.col("role") == "system")
-    t = t.withColumn("n", F.when(system, 0).otherwise(tokens(F.col("text"))))
+    t = t.withColumn("system", F.max(F.when(system, size).otherwise(0)).over(Window.partitionBy("conv_id"))).withColumn("n", F.when(system, 0).otherwise(size).cast("long"))
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    stretch = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.col("system")) / 2))
     t = t.withColumn("before", before).withColumn("window", F.floor(F.col("before") / stretch).cast("long"))
-    role = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("&#10;"))
-    t = t.withColumn("open", F.concat(F.lit(START), role, F.lit("\n"))).withColumn("body", escaped(F.col("text")))
     w = t.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("pos", "before", "role", "open", "body"))).alias("new"))
     by = Window.partitionBy("conv_id").orderBy("window")
     w = w.withColumn("old", F.lag("new").over(by)).withColumn("head", F.first(F.expr("new[0]")).over(by))
@@ -62,7 +66,9 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     spans = F.expr(
         "transform(filter(transform(all, (t, i) -> struct(t.role as role, i as i, ends[i] + length(t.open) as start, length(t.body) as length)), "
         "x -> x.i >= n_context and x.role = 'assistant'), x -> struct(x.start as start, x.length as length))")
-    return w.select("conv_id", "window", F.array_join("pieces", "").alias("formatted"), "n_context", spans.alias("loss_spans"))
+    w = w.select("conv_id", "window", F.array_join("pieces", "").alias("formatted"), "n_context", spans.alias("loss_spans"))
+    n = F.octet_length("formatted").cast("long")
+    return w.withColumn("n_tokens", n).withColumn("over_budget", n > budget)
 
 
 def parsed(formatted: DataFrame) -> DataFrame:

@@ -41,12 +41,13 @@ DOCUMENTS = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate
 _SAID = "<|im_end|><|im_start|>assistant ok"
 CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'),
   p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
-  q AS (SELECT *, pos = 1 AND role = 'system' AS sys, CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE ceil(length(text) / 4.0)::BIGINT + 4 END AS n,
-    24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS seg FROM p),
+  e AS (SELECT *, replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;') AS erole, replace(replace(text, '&', '&amp;'), '<|', '&lt;|') AS etext, pos = 1 AND role = 'system' AS sys FROM p),
+  q AS (SELECT *, CASE WHEN sys THEN 0 ELSE 24 + strlen(erole) + strlen(etext) END AS n, 24 + length(erole) + length(etext) AS seg,
+    max(CASE WHEN sys THEN 24 + strlen(erole) + strlen(etext) ELSE 0 END) OVER (PARTITION BY conv_id) AS syslen FROM e),
   r AS (SELECT *, (sum(n) OVER (PARTITION BY conv_id ORDER BY pos) - n)::BIGINT AS bef FROM q),
-  z AS (SELECT *, bef // 896 AS win FROM r),
+  z AS (SELECT *, bef // greatest(1, floor((7168 - syslen) / 2.0)::BIGINT) AS win FROM r),
   ws AS (SELECT conv_id, win, min(bef) AS st, lag(win) OVER (PARTITION BY conv_id ORDER BY win) AS prev FROM z GROUP BY conv_id, win),
-  more AS (SELECT ws.conv_id, sum(CASE WHEN z.sys OR (z.win = prev AND st - z.bef <= 256) THEN seg ELSE 0 END) AS extra FROM ws JOIN z ON ws.conv_id = z.conv_id WHERE prev IS NOT NULL GROUP BY ws.conv_id)
+  more AS (SELECT ws.conv_id, sum(CASE WHEN z.sys OR (z.win = prev AND st - z.bef <= 1024) THEN seg ELSE 0 END) AS extra FROM ws JOIN z ON ws.conv_id = z.conv_id WHERE prev IS NOT NULL GROUP BY ws.conv_id)
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, length(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, (sum(seg) + coalesce(any_value(extra), 0))::BIGINT AS formatted_chars FROM z LEFT JOIN more USING (conv_id) GROUP BY conv_id"""
 
