@@ -5,7 +5,10 @@ Reading parses the RIFF index (``idx1``) and each frame's JPEG headers, decodes
 all frames of a batch in step, and undoes the left-neighbour prediction. Shots are cut where the difference of
 successive frames' histograms stands out from those just before it.
 
-Defined results: a null text is an empty text and makes one frame of padding; equal texts make equal files;
+Frames are coded ``STEP`` at a time, so a very long text takes no more scratch than its own bytes and file.
+
+Defined results: a null text is an empty text and makes one frame of padding; equal texts make equal files; rows
+with a null id and repeated rows are stored each on its own; other columns are ignored; a null file has no clips;
 a file that is no AVI of this kind raises ValueError.
 """
 
@@ -22,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import one_cache, ship, table
+
 SIDE, FPS = 24, 12
 FRAME = SIDE * SIDE
-#: Payload bytes that are coded at once.
-CHUNK = 1 << 20
+#: Payload bytes of a batch of texts, and frames that are coded at once.
+CHUNK, STEP = 1 << 20, 2048
 BINS, MEMORY = 16, 8
 #: Smallest histogram difference of a cut, and standard deviations over the mean of the last MEMORY ones.
 LEAST_CUT, SIGMAS = 0.12, 3.0
@@ -185,7 +190,8 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
 
 def write_avi(payloads: list[bytes]) -> list[bytes]:
     """AVI files of payloads, each a positive multiple of 576 bytes."""
-    frames = encode_frames(np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, FRAME))
+    samples = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, FRAME)
+    frames = [f for i in range(0, len(samples), STEP) for f in encode_frames(samples[i : i + STEP])]
     out, at = [], 0
     for p in payloads:
         n = len(p) // FRAME
@@ -205,14 +211,20 @@ def read_avi(files: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         bounds.append(bounds[-1] + len(a))
     if not bounds[-1]:
         return np.zeros((0, FRAME), np.uint8), np.array(bounds)
-    return decode_frames(np.frombuffer(b"".join(files), dtype=np.uint8), np.concatenate(starts), np.concatenate(sizes)), np.array(bounds)
+    data, starts, sizes = np.frombuffer(b"".join(files), dtype=np.uint8), np.concatenate(starts), np.concatenate(sizes)
+    samples = np.empty((len(starts), FRAME), dtype=np.uint8)
+    for i in range(0, len(starts), STEP):
+        samples[i : i + STEP] = decode_frames(data, starts[i : i + STEP], sizes[i : i + STEP])
+    return samples, np.array(bounds)
 
 
 def histogram_steps(samples: np.ndarray) -> np.ndarray:
     """For each frame, its histogram's distance (0 to 1) from that of the frame before it; 0 for the first."""
     n = len(samples)
-    at = (np.arange(n, dtype=np.int64)[:, None] * BINS + (samples >> 4)).ravel()
-    h = np.bincount(at, minlength=n * BINS).reshape(n, BINS)
+    h = np.empty((n, BINS), dtype=np.int64)
+    for i in range(0, n, STEP):
+        part = samples[i : i + STEP] >> 4
+        h[i : i + STEP] = np.bincount((np.arange(len(part))[:, None] * BINS + part).ravel(), minlength=len(part) * BINS).reshape(-1, BINS)
     step = np.zeros(n)
     step[1:] = np.abs(h[1:] - h[:-1]).sum(axis=1) / (2 * FRAME)
     return step
@@ -253,6 +265,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             for i, j in _by_size(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) for x in texts[i:j]], pa.int64()), pa.array(write_avi([padded(x) for x in texts[i:j]]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
+    ship(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
@@ -272,6 +285,7 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "clip", "start_frame", "end_frame", "start_s", "end_s"])
 
+    ship(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(
         run, "doc_id long, clip int, start_frame int, end_frame int, start_s double, end_s double")
 
@@ -282,6 +296,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
+        one_cache({})
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
                 part = batch.slice(s, 1024)
@@ -300,11 +315,10 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(cols, types, strict=True))], names=names)
 
+    ship(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return digests(table(spark, sf_dir, "documents"))
