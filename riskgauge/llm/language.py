@@ -252,8 +252,11 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, held_out: int | None =
         seen = seen.where(remainder("doc_id", 3) != held_out)
     h = F.xxhash64("doc_id")
     own = seen.where("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("h"), F.col("doc_id")))
-    ids = own.withColumn("h", h).withColumn("turn", turn).where(F.col("turn") <= train_docs).orderBy("turn", "h", "doc_id").limit(train_docs).select("doc_id", "lang")
+    # of a language with n ids about 8 * train_docs are ranked, by their hashes; at most train_docs languages are learned
+    many = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(train_docs)
+    few = own.withColumn("h", h).join(F.broadcast(many), "lang").where(F.pmod("h", F.lit(1 << 30)) <= (8 * train_docs << 30) / F.col("n"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = few.withColumn("turn", turn).where(F.col("turn") <= train_docs).orderBy("turn", "h", "doc_id").limit(train_docs).select("doc_id", "lang")
     texts_of = seen.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # train_docs ids at most; no text is sent that isn't drawn
     drawn = texts_of.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).orderBy(h, "doc_id").toArrow()
     texts, y = [], []
