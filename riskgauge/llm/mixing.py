@@ -1,24 +1,29 @@
 """Soft-membership mixing of sources to target weights, in DataFrame operations only.
 
-Domains are the classes of the labelled table (quality and toxic). A naive Bayes classifier over coarse features
-of a text (length, shares of marks, capitals and repeated words, and how many words of a learned lexicon it has)
-predicts every document's domain posteriors. Documents with equal features have equal posteriors and rates, so
-they make a cell; there are at most 21 * 4 * 4 * 4 * 4 cells whatever the input.
+Domains are the classes of the labelled table (quality and toxic). Features of a text are its hashed words, word
+bigrams and word shapes (letters left out). For each of the two labels the features that tell most (chi square, at
+most ``LEXICON``) make a naive Bayes score; the two scores' bins make a text's cell, and the shares of the labelled
+documents of a cell, smoothed by those of all, are the domain posteriors. Documents of a cell have equal posteriors
+and rates; there are at most 100 cells whatever the input.
 
 Rates minimise the scaled squares of (expected domain token totals - targets) plus a small pull towards 1, rates
-being nonnegative. The optimum has one unknown a domain, which the driver finds by Newton steps over the cells
-until the condition of optimality holds; a target that is missed by over 2 % is warned of.
+being nonnegative: they are the projection max(0, 1 - p . x / pull), where x, one number a domain, follows the
+gradient, scaled by its curvature, until the condition of optimality holds. Each gradient is one distributed
+aggregate. A target that is missed by over 2 % is warned of.
 
 ``copies`` of a document are floor(rate + u) with u in [0, 1) from a hash of its id, so that expected totals are
 those of the rates. Defined results: null and empty texts have one token, so that totals are positive; a null id
-hashes as a value of its own; labels with a null id, quality or toxic teach nothing; repeated labels of an id
-count once (the lowest of each); without labels posteriors are uniform; a domain of which no document has any
-posterior can't be met, and the least squares leave it.
+hashes as a value of its own; repeated rows are rated each on its own, and teach once; labels with a null id, quality
+or toxic teach nothing; repeated labels of an id count once (the lowest of each); without labels posteriors are
+uniform; a domain of which no document has any posterior can't be met, and the least squares leave it; an empty
+table stays empty; columns of any name are kept.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,32 +33,55 @@ from .common import cut, table
 
 # Domains (quality, toxic) and their shares of the tokens.
 TARGETS = {"q0t0": 0.08, "q0t1": 0.02, "q1t0": 0.82, "q1t1": 0.08}
-LEXICON_DOCS, LEXICON, PULL = 4000, 24, 1e-4
-CELL = ("f_length", "f_marks", "f_capitals", "f_repeats", "f_lexicon")
+#: Labelled documents that features are chosen from, features a label, and documents that must hold one.
+LEXICON_DOCS, LEXICON, LEAST_DOCS, PULL = 3000, 64, 5, 1e-4
+#: Bounds of a score's bins (log odds), and the weight of all documents' shares in a cell's.
+EDGES, SMOOTH = (-6, -4, -2, -1, 0, 1, 2, 4, 6), 2.0
+LABELS = ("quality", "toxic")
+CELL = ("quality_bin", "toxic_bin")
 
 
-def _bins(share: Column, *limits: float) -> Column:
-    out = F.lit(len(limits))
-    for k, x in reversed(list(enumerate(limits))):
-        out = F.when(share <= x, k).otherwise(out)
-    return out.cast("int")
+class Lexicon(NamedTuple):
+    """For each label the score of a text without features, and what each hashed feature adds."""
 
+    base: dict[str, float]
+    weights: dict[str, dict[int, float]]
 
-def featured(docs: DataFrame, lexicon: list[str], text_col: str = "text") -> DataFrame:
+
+def split_words(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r]+")
+
+
+def grams(words: Column, text: Column) -> Column:
+    """Hashed words, bigrams (one value for a word said twice) and shapes of words."""
+    shapes = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{L}+", "a"), r"[ \t\n\r]+")
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(a == b, F.lit(1).cast("long")).otherwise(F.coalesce(F.xxhash64(a, b), F.lit(0))))
+    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), pairs, F.transform(shapes, lambda w: F.xxhash64(w, F.lit(0))))
+
+
+def _sum_of(held: str, weights: Column) -> Column:
+    return F.aggregate(held, F.lit(0.0), lambda a, h: a + F.coalesce(F.try_element_at(weights, h), F.lit(0.0)))
+
+
+def featured(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """``docs`` with the cell columns and n_tokens."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1))
-    tokens = F.greatest(F.regexp_count(t, F.lit(r"[^ \t\n\r]+")), F.lit(1)).cast("long")
-    hits = F.regexp_count(t, F.lit(r"(?i)\b(?:" + "|".join(lexicon) + r")\b")) if lexicon else F.lit(0)
-    repeats = F.regexp_count(t, F.lit(r"\b(\w+) \1\b"))
-    return docs.withColumns({
-        "f_length": F.least(F.floor(F.log2(n.cast("double"))).cast("int"), F.lit(20)),
-        "f_marks": _bins((F.length(t) - F.length(F.regexp_replace(t, r"[!*$%&#|]", ""))) / n, 0.002, 0.02, 0.08),
-        "f_capitals": _bins((F.length(t) - F.length(F.regexp_replace(t, r"[A-Z]", ""))) / n, 0.02, 0.08, 0.3),
-        "f_repeats": _bins(repeats / tokens, 0.01, 0.05, 0.2),
-        "f_lexicon": _bins(hits / tokens, 0.0, 0.005, 0.02),
-        "n_tokens": tokens,
-    })
+    words = split_words(F.col(text_col))
+    known = sorted(set().union(*lexicon.weights.values()))
+    out = docs.withColumn("__words", words)
+    ends = (F.element_at("__words", 1) == "").cast("int") + (F.element_at("__words", -1) == "").cast("int")
+    out = out.withColumn("n_tokens", F.greatest(F.size("__words") - ends, F.lit(1)).cast("long"))
+    held = F.array_intersect(grams(F.col("__words"), F.col(text_col)), F.array(*map(F.lit, known)).cast("array<bigint>")) if known else F.array().cast("array<bigint>")
+    out = out.withColumn("__held", held)
+    for label, cell in zip(LABELS, CELL, strict=True):
+        w = lexicon.weights[label]
+        total = F.lit(float(lexicon.base[label]))
+        if w:
+            total = total + _sum_of("__held", F.create_map(*(F.lit(x) for k, v in sorted(w.items()) for x in (k, float(v)))))
+        found = F.lit(len(EDGES))
+        for k, x in reversed(list(enumerate(EDGES))):
+            found = F.when(F.col(f"__{cell}") <= x, k).otherwise(found)
+        out = out.withColumn(f"__{cell}", total).withColumn(cell, found.cast("int"))
+    return out.drop("__words", "__held", *(f"__{c}" for c in CELL))
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -62,86 +90,106 @@ def domains_of(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.format_string("q%dt%d", F.min("quality"), F.min("toxic")).alias("domain"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, most_docs: int = LEXICON_DOCS, size: int = LEXICON) -> list[str]:
-    """Words of toxic documents, by the log odds of holding them, from at most ``most_docs`` labelled documents."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
+def learn_lexicon(docs: DataFrame, labels: DataFrame, most_docs: int = LEXICON_DOCS, size: int = LEXICON) -> Lexicon:
+    """The most telling features of each label, from at most ``most_docs`` labelled documents."""
+    known = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)").groupBy("doc_id").agg(*(F.min(x).alias(x) for x in LABELS))
     drawn = known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    held = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    words = held.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where(F.length("word") >= 3)
-    n = drawn.agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).select(F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n0", F.lit(0)).alias("n0"))
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0")).where("c1 >= 3").join(F.broadcast(n)).where("c1 >= 0.05 * n1")
-    odds = F.log((F.col("c1") + 0.5) / (F.col("n1") + 1)) - F.log((F.col("c0") + 0.5) / (F.col("n0") + 1))
-    best = counts.withColumn("odds", odds).where("odds > 2").orderBy(F.desc(F.col("c1") * F.col("odds")), "word").limit(size)
-    return [r["word"] for r in best.select("word").collect()]
+    held = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", *LABELS).agg(F.min("text").alias("text"))
+    held = cut(held.select(*LABELS, F.array_distinct(grams(split_words(F.col("text")), F.col("text"))).alias("grams")))
+    n, *ones = held.agg(F.count("*"), *(F.coalesce(F.sum(x), F.lit(0)) for x in LABELS)).first()
+    counts = held.select(*LABELS, F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("m"), *(F.sum(x).alias(x) for x in LABELS)).where(F.col("m") >= LEAST_DOCS)
+    out = Lexicon({}, {})
+    if n:
+        counts = cut(counts)
+    for label, n1 in zip(LABELS, ones, strict=True):
+        n0, out.base[label], out.weights[label] = n - n1, 0.0, {}
+        if not n0 or not n1:
+            continue
+        m, m1 = F.col("m").cast("double"), F.col(label).cast("double")
+        chi = F.pow(m1 - m * n1 / n, F.lit(2.0)) / (m * n1 / n * n0 / n * (1 - m / n) + 1e-9)
+        a, b = (m1 + 0.5) / (n1 + 1), (m - m1 + 0.5) / (n0 + 1)
+        best = counts.withColumn("chi", chi).where("chi > 25").select("gram", "chi", F.log(a / b).alias("held"), F.log((1 - a) / (1 - b)).alias("lacked"))
+        rows = best.orderBy(F.desc("chi"), "gram").limit(size).collect()
+        out.base[label] = float(np.log(n1 / n0) + sum(r["lacked"] for r in rows))
+        out.weights[label] = {r["gram"]: r["held"] - r["lacked"] for r in rows}
+    return out
 
 
 def posteriors(cells: DataFrame, known: DataFrame, domains: list[str]) -> DataFrame:
     """``cells`` with an array of posteriors, ordered as ``domains``. known: (cell columns, domain), one row for each labelled document."""
-    counts = cut(known.groupBy("domain", *CELL).agg(F.count("*").alias("n")))
-    by_domain = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
-    total = sum(by_domain.values())
-    logs = [F.lit(float(np.log((by_domain.get(d, 0) + 1) / (total + len(domains))))) for d in domains]
-    out = cells
-    for f in CELL:  # at most 21 values a feature: a table of a bounded size
-        values = counts.groupBy(F.col(f)).pivot("domain", domains).agg(F.sum("n")).select(f, F.array(*(
-            F.log((F.coalesce(F.col(d), F.lit(0)) + 0.5) / (by_domain.get(d, 0) + 0.5 * 5)) for d in domains)).alias(f"l_{f}"))
-        out = out.join(F.broadcast(values), f, "left")
-    for k, d in enumerate(domains):
-        for f in CELL:
-            logs[k] = logs[k] + F.coalesce(F.col(f"l_{f}")[k], F.log(F.lit(0.5 / (by_domain.get(d, 0) + 0.5 * 5))))
-    out = out.withColumn("logs", F.array(*logs)).withColumn("logs", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))))
-    p = F.transform("logs", lambda x: x / F.aggregate("logs", F.lit(0.0), lambda a, b: a + b))
-    return out.withColumn("p", p).drop("logs", *(f"l_{f}" for f in CELL))
-
-
-def solve_rates(w: np.ndarray, p: np.ndarray, t: np.ndarray, pull: float = PULL, tolerance: float = 1e-9, most_steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """The least squares' residual (share - target) / target of each domain, and the rates.
-
-    At the optimum a rate is max(0, 1 - p . residual / pull), which leaves as many unknowns as there are domains;
-    Newton steps on the concave dual, halved until it grows, find them. Raises if they don't.
+    counts = known.where(F.col("domain").isin(domains)).groupBy(*CELL).pivot("domain", domains).agg(F.count("domain"))
+    counts = cut(counts.select(*CELL, *(F.coalesce(d, F.lit(0)).alias(d) for d in domains)))
+    totals = counts.agg(*(F.coalesce(F.sum(d), F.lit(0)) for d in domains)).first()
+    prior = [float((x + 1) / (sum(totals) + len(domains))) for x in totals]
+    n = sum((F.coalesce(d, F.lit(0)) for d in domains), F.lit(0.0))
+    p = F.array(*((F.coalesce(d, F.lit(0)) + SMOOTH * x) / (n + SMOOTH) for d, x in zip(domains, prior, strict=True)))
+    return cells.join(F.broadcast(counts), list(CELL), "left").withColumn("p", p).drop(*domains)  # a row a cell: at most 100
+
+
+def solve_rates(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, float]], t: np.ndarray, pull: float = PULL, tolerance: float = 1e-9, most_steps: int = 500) -> np.ndarray:
+    """x, at the optimum the residual (share - target) / target of each domain.
+
+    ``sums`` gives for x the domains' shares under the rates max(0, 1 - p . x / pull), the matrix of the posteriors'
+    products over the rows with a positive rate, and the sum of the squared rates, all weighted by tokens. x moves
+    along the dual's gradient, scaled by its curvature and halved until the dual grows. Raises if that doesn't end.
     """
-    rates = lambda x: np.maximum(0.0, 1 - p @ x / pull)
-    dual = lambda x: -pull / 2 * (w @ rates(x) ** 2) - t @ x - t @ x**2 / 2
+    def at(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        share, products, square = sums(x)
+        return share - t - t * x, products, -pull / 2 * square - t @ x - t @ x**2 / 2
+
     x = np.zeros(len(t))
+    gap, products, dual = at(x)
     for _ in range(most_steps):
-        r = rates(x)
-        gap = (w * r) @ p - t - t * x
         if np.abs(gap / t).max() < tolerance:
-            return x, r
-        on = r > 0
-        move = np.linalg.solve((p[on] * w[on, None]).T @ p[on] / pull + np.diag(t), gap)
-        size, now, slope = 1.0, dual(x), gap @ move
-        while dual(x + size * move) < now + 1e-4 * size * slope and size > 1e-12:
+            return x
+        move = np.linalg.solve(products / pull + np.diag(t), gap)
+        size, slope = 1.0, gap @ move
+        new = at(x + move)
+        while new[2] < dual + 1e-4 * size * slope and size > 1e-12:
             size /= 2
-        x = x + (size if size > 1e-12 else 1.0) * move
+            new = at(x + size * move)
+        x = x + size * move
+        gap, products, dual = new
     raise RuntimeError(f"mixing rates did not converge: gaps {(gap / t).tolist()}")
 
 
+def rate_of(p: Column, x: Sequence[float], pull: float = PULL) -> Column:
+    return F.greatest(F.lit(0.0), sum((p[k] * F.lit(-float(v) / pull) for k, v in enumerate(x)), F.lit(1.0)))
+
+
 def fit_rates(cells: DataFrame, targets: dict[str, float], pull: float = PULL) -> DataFrame:
-    """``cells`` (tokens, p) with ``rate``; the cells are a table of a bounded size. Targets that can't be met are warned of."""
+    """``cells`` (tokens, p) with ``rate``. Targets that can't be met are warned of."""
     t = np.array(list(targets.values()))
     t = t / t.sum()
-    rows = cells.select(*CELL, "tokens", "p").collect()
-    if not rows:
+    total = cells.agg(F.sum("tokens")).first()[0]
+    if not total:
         return cells.withColumn("rate", F.lit(1.0))
-    tokens = np.array([r["tokens"] for r in rows], dtype=float)
-    residual, rate = solve_rates(tokens / tokens.sum(), np.array([list(r["p"]) for r in rows]), t, pull)
-    missed = {d: round(float(1 + x), 4) for d, x in zip(targets, residual, strict=True) if abs(x) > 0.02}
+    d = range(len(t))
+    weighed = cells.coalesce(1).select("p", (F.col("tokens") / F.lit(float(total))).alias("w"))
+
+    def sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        on = weighed.withColumn("r", rate_of(F.col("p"), x, pull))
+        p = F.col("p")
+        products = [F.sum(F.when(F.col("r") > 0, F.col("w") * p[i] * p[j]).otherwise(0.0)) for i in d for j in d]
+        row = list(on.agg(*(F.sum(F.col("w") * F.col("r") * p[k]) for k in d), *products, F.sum(F.col("w") * F.col("r") * F.col("r"))).first())
+        return np.array(row[: len(t)]), np.array(row[len(t) : -1]).reshape(len(t), len(t)), row[-1]
+
+    x = solve_rates(sums, t, pull)
+    missed = {k: round(float(1 + v), 4) for k, v in zip(targets, x, strict=True) if abs(v) > 0.02}
     if missed:
         warnings.warn(f"mixing targets not met, reached shares of them: {missed}", stacklevel=2)
-    spark = cells.sparkSession
-    found = spark.createDataFrame([(*(r[c] for c in CELL), float(x)) for r, x in zip(rows, rate, strict=True)], ", ".join(f"{c} int" for c in CELL) + ", rate double")
-    return cut(cells.join(F.broadcast(found), list(CELL)))
+    return cells.withColumn("rate", rate_of(F.col("p"), x, pull))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str], DataFrame]:
-    """Cells with posteriors and rates, the lexicon that makes them, and every document's cell and tokens (doc_id, n_tokens, cell)."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lexicon = learn_lexicon(own, labels)
-    seen = cut(featured(own, lexicon).drop("text"))
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Cells with posteriors and rates, and every document's cell and tokens (doc_id, n_tokens, cell; all of the row as
+    ``__row`` where it is asked for). Texts are read for the lexicon and once more."""
+    row = [F.struct(*docs.columns).alias("__row")] if whole else []  # a struct, so that no column's name clashes
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row)
+    seen = cut(featured(own, learn_lexicon(own, labels)).drop("text"))
     cells = cut(seen.groupBy(*CELL).agg(F.sum("n_tokens").alias("tokens")))
-    known = seen.join(domains_of(labels), "doc_id")
-    return fit_rates(cut(posteriors(cells, known, list(targets))), targets), lexicon, seen
+    known = seen.where("doc_id is not null").select("doc_id", *CELL).distinct().join(domains_of(labels), "doc_id")
+    return cut(fit_rates(cut(posteriors(cells, known, list(targets))), targets)), seen
 
 
 def rated(placed: DataFrame, cells: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -153,14 +201,13 @@ def rated(placed: DataFrame, cells: DataFrame, id_col: str = "doc_id") -> DataFr
 
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` as often as their rates say: left out, once or repeated."""
-    cells, lexicon, _ = mixed(docs, labels, targets)
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))  # so that no column's name clashes
-    kept = rated(featured(whole, lexicon), cells).where("copies > 0")
+    cells, seen = mixed(docs, labels, targets, whole=True)
+    kept = rated(seen, cells).where("copies > 0")
     return kept.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select("__row.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cells, _, seen = mixed(docs, table(spark, sf_dir, "labels"))
+    cells, seen = mixed(docs, table(spark, sf_dir, "labels"))
     domains = list(TARGETS)
     return rated(seen, cells).select("doc_id", "n_tokens", *(F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(domains)), F.round("rate", 9).alias("rate"), "copies")
