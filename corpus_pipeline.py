@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgauge.llm import byte_bpe, language, mixing, near_text, quality
-from riskgauge.llm.common import checkpoint_dir, ship, table
+from riskgauge.llm.common import checkpoint_dir, cut, ship, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Language posteriors below this mean that no language fits a text.
@@ -18,14 +18,21 @@ LEAST_LANGUAGE = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold stay. All labels teach: no row is held out here."""
+    """Documents whose score reaches the threshold stay. All labels teach: no row is held out here.
+
+    Null and empty texts and rows with a null id are judged like all others; repeated rows are judged alike; without
+    both labels every document stays.
+    """
     ship(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"), held_out=None)
     return quality.scores(docs, model, COLUMNS).where(F.col("score") >= quality.CUT).select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay, and ``lang`` becomes the predicted one."""
+    """Documents in a known language stay, and ``lang`` becomes the predicted one.
+
+    Null texts, texts without a letter and, where no row has a language, all texts are in none, and go.
+    """
     ship(spark)
     known = language.predict(docs, language.train(docs, held_out=None), COLUMNS)
     known = known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE))
@@ -33,20 +40,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of each group stays, and documents that are in none."""
+    """One document of each group at similarity 0.8 or more stays, that of the least id, and documents that are in none.
+
+    Of rows repeated under one id the least stays; rows without an id stay, and texts without words are in no group.
+    """
     ship(spark)
-    dropped = near_text.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    found = cut(near_text.near_duplicates(docs, percent=80))
+    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    dropped = found.where("not kept").select("doc_id").union(repeated).distinct()
+    own = docs.select(*COLUMNS)
+    least = own.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return own.join(dropped, "doc_id", "left_anti").select(*COLUMNS).union(least.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out or repeated so that expected domain token totals match the targets."""
+    """Documents are left out or repeated so that expected domain token totals match the targets.
+
+    Rows of any content have a rate; without labels posteriors are uniform and rates near 1.
+    """
     ship(spark)
     return mixing.resampled(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), PIPELINE_TARGETS).select(*COLUMNS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids' and decoded bytes' digests of every document."""
+    """Token ids' and decoded bytes' digests of every document; a null text is empty."""
     ship(spark)
     return byte_bpe.digests(docs, *byte_bpe.public_vocabulary())
 
