@@ -7,8 +7,8 @@ confirm links. Only components are returned, so pairs are never listed: document
 A bucket (the classes with a band in common) is first compared with its hub, the member with the largest buckets,
 which for a group of copies of one text is that text. What remains are pairs of one bucket in different
 components: all of them are compared, in blocks of bounded size that hold texts of similar length (others can't
-link), and a block pair gives a spanning forest of its links. Every pair that shares a band and isn't tied through
-others is thus decided on full sets. A pair at similarity 0.85 shares no band
+link), and a block pair gives a spanning forest of its links. Buckets that share classes are compared as one group.
+Every pair that shares a band and isn't tied through others is thus decided on full sets. A pair at similarity 0.85 shares no band
 with probability 2e-8, one at 0.8 with 7e-6.
 
 Defined results: a null or wordless text has an empty set and links with nothing; a null doc_id is kept with
@@ -193,14 +193,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def rest_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): components (rep, n, band, comp) of a bucket that are linked.
+    """(a, b): components of classes (rep, n, band, comp) in one bucket that are linked.
 
-    A block holds classes of one bucket and of similar set size, and of one component where that has a block's
-    worth of members. Blocks of one component aren't compared with each other, nor are sizes that can't link.
+    Buckets of one component are done with. The others that share classes make a group, so that a pair is compared
+    once and not for every band. A block holds classes of one group and of similar set size, and of one component
+    where that has a block's worth of members. Blocks of one component aren't compared with each other, nor are
+    sizes that can't link.
     """
-    mixed = held.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).where("c0 <> c1").select("band", "rows", F.lit(1).alias("on"))
+    mixed = cut(held.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), F.min("rep").alias("low")).where("c0 <> c1").select("band", "rows", "low"))
     step = math.log(100 / percent) if percent < 100 else 1e-9
-    held = cut(join_hot(held, mixed, "band", "rows").drop("on").withColumn("level", F.floor(F.log("n") / step + 1e-9)))
+    held = cut(join_hot(held, mixed, "band", "rows"))
+    groups = components(held.select(F.col("rep").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("band"))
+    held = cut(held.select("rep", "n", "comp").distinct().join(groups, "rep").withColumn("level", F.floor(F.log("n") / step + 1e-9)))
     most = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.floor(BLOCK_SHINGLES / F.max("n"))))
     counts = held.groupBy("band", "level", "comp").agg(F.count("*").alias("rows"), most.alias("most"))
     counts = counts.withColumn("alone", F.when(F.col("rows") >= F.col("most"), F.col("comp")))  # null: pooled with others
