@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as R
@@ -30,8 +30,8 @@ from .common import one_cache, remainder, ship, table
 TRAIN_DOCS, BUCKETS, STEPS, BATCH, LENGTH = 1600, 1 << 15, 200, 48, 40
 #: Words of a block, words handled at once, and emissions that a worker keeps.
 BLOCK, WORDS, KEEP = 32, 100_000, 200_000
-#: Letters of a word at most.
-PIECE = 64
+#: Letters of a word at most, and words whose features are made at once.
+PIECE, CHUNK = 64, 8192
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -135,7 +135,7 @@ class Crf:
         self.w = np.zeros((BUCKETS, len(labels)))
         self.trans = np.zeros((len(labels), len(labels)))
 
-    def emissions(self, words: list[str], step: int = 8192) -> np.ndarray:
+    def emissions(self, words: list[str], step: int = CHUNK) -> np.ndarray:
         """(words, labels)."""
         out = [np.zeros((0, len(self.labels)))]
         for i in range(0, len(words), step):
@@ -150,7 +150,10 @@ class Crf:
         g2_w, g2_t = np.full_like(self.w, 1e-3), np.full_like(self.trans, 1e-1)
         seen = sorted({w for t in texts for w in t})
         number = {w: i for i, w in enumerate(seen)}
-        ids, of_word = features(seen)
+        parts = [features(seen[i : i + CHUNK]) for i in range(0, len(seen), CHUNK)]
+        ids = np.concatenate([i.astype(np.int32) for i, _ in parts])
+        of_word = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))))
+        del parts
         for _ in range(STEPS):
             words, gold = [], []
             for _ in range(BATCH):
@@ -252,18 +255,17 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, held_out: int | None =
         seen = seen.where(remainder("doc_id", 3) != held_out)
     h = F.xxhash64("doc_id")
     own = seen.where("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    # of a language with n ids about 8 * train_docs are ranked, by their hashes; at most train_docs languages are learned
+    # a hash's place among the ids of its language stands for the id's turn; at most train_docs languages are learned
     many = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(train_docs)
-    few = own.withColumn("h", h).join(F.broadcast(many), "lang").where(F.pmod("h", F.lit(1 << 30)) <= (8 * train_docs << 30) / F.col("n"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = few.withColumn("turn", turn).where(F.col("turn") <= train_docs).orderBy("turn", "h", "doc_id").limit(train_docs).select("doc_id", "lang")
+    turn = F.pmod(h, F.lit(1 << 30)) * F.col("n")
+    ids = own.join(F.broadcast(many), "lang").orderBy(turn, h, "doc_id").limit(train_docs).select("doc_id", "lang")
     texts_of = seen.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # train_docs ids at most; no text is sent that isn't drawn
     drawn = texts_of.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).orderBy(h, "doc_id").toArrow()
-    texts, y = [], []
+    texts, y, once = [], [], {}
     labels = sorted(set(drawn.column("lang").to_pylist()))
     for lang, text in zip(drawn.column("lang").to_pylist(), drawn.column("text").to_pylist(), strict=True):
         if w := words_of(text):
-            texts.append(w)
+            texts.append([once.setdefault(x, x) for x in w])  # one object a word
             y.append(labels.index(lang))
     labels_seen = sorted(set(y))
     crf = Crf([labels[k] for k in labels_seen])
