@@ -86,7 +86,8 @@ class Ranker:
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         z, rng = self.expand(x), np.random.default_rng(seed)
         good, bad = rng.choice(np.flatnonzero(y == 1), PAIRS), rng.choice(np.flatnonzero(y == 0), PAIRS)
-        d = z[good] - z[bad]
+        d = z[good].astype(np.float32)
+        d -= z[bad]
         w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
         for t in range(1, STEPS + 1):  # Adam on the logistic loss of differences
             g = -(d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(axis=0) + 1e-3 * w
