@@ -32,7 +32,7 @@ from .common import components, cut, join_hot, table
 U = np.uint64
 PERMUTATIONS, BANDS, ROWS = 75, 30, 5
 #: Classes of a block and shingles of a block, whichever is less; pairs of a hub that meet in one task's row group.
-BLOCK, BLOCK_SHINGLES, SPREAD = 256, 400_000, 256
+BLOCK, BLOCK_SHINGLES, SPREAD = 1024, 400_000, 256
 _rng = np.random.default_rng(77)
 FACTOR = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
 SHIFT = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
