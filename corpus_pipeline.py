@@ -47,10 +47,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     found = cut(near_text.near_duplicates(docs, percent=80))
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    dropped = found.where("not kept").select("doc_id").union(repeated).distinct()
+    marks = cut(found.where("not kept").select("doc_id").join(repeated, "doc_id", "left_anti").distinct().withColumn("again", F.lit(False)).union(repeated.withColumn("again", F.lit(True))))
     own = docs.select(*COLUMNS)
-    least = own.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
-    return own.join(dropped, "doc_id", "left_anti").select(*COLUMNS).union(least.select(*COLUMNS))
+    marked = own.where("doc_id is not null").join(marks, "doc_id", "left")  # texts are shuffled once for both branches
+    least = marked.where("again").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return own.where("doc_id is null").union(marked.where("again is null").select(*COLUMNS)).union(least.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
