@@ -55,58 +55,6 @@ def ship(spark: SparkSession) -> None:
 _caches: list[dict] = []
 
 
-def one_cache(own: dict) -> None:
-    """A worker process lives through many stages: it keeps the cache of one operator, the one that runs."""
-    for c in _caches:
-        if c is not own:
-            c.clear()
-    _caches[:] = [own]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there, so that lost executors cost one stage at most."""
-    checkpoint_dir(df.sparkSession)
-    ship(df.sparkSession)
-    return df.checkpoint(True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def remainder(col: str, n: int):
-    """crc32 of the column as text, mod n (null where the column is null)."""
-    return F.crc32(F.col(col).cast("string")) % F.lit(n)
-
-
-def join_hot(many: DataFrame, one: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
-    """``many`` joined by ``key`` to ``one``, a table of one row for each non-null key, whatever the skew of ``many``.
-
-    ``rows`` is the column of ``one`` with the key's number of rows in ``many`` (it is dropped). The HOT_KEYS keys with
-    the most rows are broadcast, so of the keys that are shuffled none has more than 1 / HOT_KEYS of all rows.
-    Rows with a null key match nothing and aren't shuffled. how: inner or left. ``one`` is evaluated twice.
-    """
-    hot = one.where(F.col(rows) >= HOT_ROWS).orderBy(F.desc(rows), key).limit(HOT_KEYS).collect()
-    one = one.drop(rows)
-    order = [*many.columns, *(c for c in one.columns if c != key)]
-    known = many.where(F.col(key).isNotNull())
-    if hot:
-        names = [c for c in one.columns if c != key]
-        with_hot = many.sparkSession.createDataFrame([(*(r[c] for c in one.columns), True) for r in hot], StructType([*one.schema, StructField("__hot", BooleanType())]))
-        tried = known.join(F.broadcast(with_hot), key, "left")
-        rest = tried.where("__hot is null").drop("__hot", *names).join(one, key, how)
-        out = tried.where("__hot").select(*order).union(rest.select(*order))
-    else:
-        out = known.join(one, key, how).select(*order)
-    if how == "left":
-        out = out.unionByName(many.where(F.col(key).isNull()), allowMissingColumns=True)
-    return out
-
-
-_caches: list[dict] = []
-
-
 def one_cache(own: dict) -> None:
     """A worker process lives through many stages: it keeps the cache of one operator, the one that runs."""
     for c in _caches:
