@@ -64,10 +64,27 @@ def one_cache(own: dict) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there, so that lost executors cost one stage at most."""
+    """Write ``df`` to the checkpoint folder and go on from there, so that lost executors cost one stage at most.
+
+    The driver's garbage is collected then, by which Spark removes the shuffles of plans that are done with from the
+    executors' disks: with many partitions each leaves three small files for every task.
+    """
     checkpoint_dir(df.sparkSession)
     ship(df.sparkSession)
-    return df.checkpoint(True)
+    out = df.checkpoint(True)
+    del df
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``cut``. Call it when all that was made of them has been cut itself."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        file = t._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +117,7 @@ def join_hot(many: DataFrame, one: DataFrame, key: str, rows: str, how: str = "i
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 1000) -> DataFrame:
     """Connected components of an undirected edge list by alternating large-star and small-star.
 
-    Returns (id, component) for every node that has an edge; component is the smallest id reachable.
+    Returns (id, component), cut, for every node that has an edge; component is the smallest id reachable.
     A node's neighbours are only ever aggregated with ``min`` (combined before the shuffle) and joined, hubs by
     broadcast, so no node's neighbourhood is collected. Each round is checkpointed; rounds grow with the logarithm
     of the longest path.
@@ -117,9 +134,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # small star: u and its smaller neighbours are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_hot(large, least, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        release(old)
         if (now := state()) == seen:
-            return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
-                e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            found = cut(e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
+                e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+            release(e)
+            return found
         seen = now
     raise RuntimeError("components did not converge")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as R
-from .common import components, cut, join_hot, table
+from .common import components, cut, join_hot, release, table
 
 U = np.uint64
 PERMUTATIONS, BANDS, ROWS = 75, 30, 5
@@ -173,9 +173,14 @@ def class_components(own: DataFrame, classes: DataFrame, percent: int) -> DataFr
     hubs = cut(held.join(central, "rep").groupBy("band").agg(
         F.max_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), F.struct("central", -F.col("rep"))).alias("h"), F.count("*").alias("rows")).select("band", "rows", "h.*"))
     pairs = join_hot(held.select("rep", "n", "band"), hubs, "band", "rows").where("rep <> hub")
-    tied = cut(components(confirmed(pairs.select("rep", "n", "hub", "hub_n").distinct(), sets, percent)).withColumnRenamed("id", "rep"))
-    held = held.select("rep", "n", "band").join(tied, "rep", "left").select("rep", "n", "band", F.coalesce("component", "rep").alias("comp"))
-    again = components(rest_links(held, sets, percent)).withColumnRenamed("id", "old")  # links between components
+    tied = components(confirmed(pairs.select("rep", "n", "hub", "hub_n").distinct(), sets, percent)).withColumnRenamed("id", "rep")
+    release(hubs)
+    posted = held
+    held = posted.select("rep", "n", "band").join(tied, "rep", "left").select("rep", "n", "band", F.coalesce("component", "rep").alias("comp"))
+    links = rest_links(held, sets, percent)
+    release(posted, sets)
+    again = components(links).withColumnRenamed("id", "old")  # links between components
+    release(links)
     many = tied.groupBy("component").agg(F.count("*").alias("rows")).withColumnRenamed("component", "old")
     moved = many.join(again, "old").select("old", "rows", F.col("component").alias("to"))
     of_tied = join_hot(tied.withColumnRenamed("component", "old"), moved, "old", "rows", "left").select("rep", F.coalesce("to", "old").alias("component"))
@@ -202,9 +207,12 @@ def rest_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     mixed = cut(held.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), F.min("rep").alias("low")).where("c0 <> c1").select("band", "rows", "low"))
     step = math.log(100 / percent) if percent < 100 else 1e-9
-    held = cut(join_hot(held, mixed, "band", "rows"))
-    groups = components(held.select(F.col("rep").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("band"))
-    held = cut(held.select("rep", "n", "comp").distinct().join(groups, "rep").withColumn("level", F.floor(F.log("n") / step + 1e-9)))
+    shared_by = cut(join_hot(held, mixed, "band", "rows"))
+    release(mixed)
+    grouped = components(shared_by.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    groups = grouped.select(F.col("id").alias("rep"), F.col("component").alias("band"))
+    held = cut(shared_by.select("rep", "n", "comp").distinct().join(groups, "rep").withColumn("level", F.floor(F.log("n") / step + 1e-9)))
+    release(shared_by, grouped)
     most = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.floor(BLOCK_SHINGLES / F.max("n"))))
     counts = held.groupBy("band", "level", "comp").agg(F.count("*").alias("rows"), most.alias("most"))
     counts = counts.withColumn("alone", F.when(F.col("rows") >= F.col("most"), F.col("comp")))  # null: pooled with others
@@ -224,7 +232,9 @@ def rest_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = on_lo.unionByName(on_hi).join(sets, "rep").select("band", "lo", "hi", "side", "comp", "s")
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["band", "lo", "hi"]
-    return cut(placed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_links(percent), "a long, b long"))
+    links = cut(placed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_links(percent), "a long, b long"))
+    release(held, members, meet)
+    return links
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

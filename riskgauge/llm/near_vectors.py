@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as R
-from .common import components, cut, join_hot, table
+from .common import components, cut, join_hot, release, table
 
 THRESHOLD, BLOCK, TILE = 0.95, 4096, 512
 #: The angle of the threshold; members of a list are near up to twice this angle.
@@ -179,10 +179,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["lo_pool", "lo", "hi_pool", "hi"]
     found = cut(both.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare, "id long, links long, to long"))
+    release(posted)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     of_class = cut(classes.select("v", "rep", "copies").join(links, F.col("rep") == links["id"], "left").drop("id").join(tied, F.col("rep") == tied["id"], "left").select(
         "v", "copies", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    release(classes, found, tied)
     out = join_hot(own, of_class, "v", "copies", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
