@@ -102,16 +102,23 @@ def join_hot(many: DataFrame, one: DataFrame, key: str, rows: str, how: str = "i
 
     ``rows`` is the column of ``one`` with the key's number of rows in ``many`` (it is dropped). The HOT_KEYS keys with
     the most rows are broadcast, so of the keys that are shuffled none has more than 1 / HOT_KEYS of all rows.
-    Rows with a null key match nothing and aren't shuffled. how: inner or left.
+    Rows with a null key match nothing and aren't shuffled. how: inner or left. ``one`` is evaluated twice.
     """
-    hot = one.where(F.col(rows) >= HOT_ROWS).orderBy(F.desc(rows), key).limit(HOT_KEYS)
-    with_hot = F.broadcast(hot.drop(rows).withColumn("__hot", F.lit(True)))
-    tried = many.join(with_hot, key, "left")
-    names = [c for c in one.columns if c not in (key, rows)]
-    done = tried.where("__hot").drop("__hot")
-    rest = tried.where(F.col("__hot").isNull() & F.col(key).isNotNull()).drop("__hot", *names).join(one.drop(rows), key, how)
-    out = done.select(*rest.columns).union(rest)
-    return out.unionByName(tried.where(F.col(key).isNull()).drop("__hot").select(*rest.columns)) if how == "left" else out
+    hot = one.where(F.col(rows) >= HOT_ROWS).orderBy(F.desc(rows), key).limit(HOT_KEYS).collect()
+    one = one.drop(rows)
+    order = [*many.columns, *(c for c in one.columns if c != key)]
+    known = many.where(F.col(key).isNotNull())
+    if hot:
+        names = [c for c in one.columns if c != key]
+        with_hot = many.sparkSession.createDataFrame([(*(r[c] for c in one.columns), True) for r in hot], StructType([*one.schema, StructField("__hot", BooleanType())]))
+        tried = known.join(F.broadcast(with_hot), key, "left")
+        rest = tried.where("__hot is null").drop("__hot", *names).join(one, key, how)
+        out = tried.where("__hot").select(*order).union(rest.select(*order))
+    else:
+        out = known.join(one, key, how).select(*order)
+    if how == "left":
+        out = out.unionByName(many.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 1000) -> DataFrame:
@@ -130,12 +137,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         # large star: every larger neighbour is tied to the least of the neighbourhood
-        large = join_hot(both.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(join_hot(both.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: u and its smaller neighbours are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_hot(large, least, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, e = e, cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        release(old)
+        release(old, large)
         if (now := state()) == seen:
             found = cut(e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
                 e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
