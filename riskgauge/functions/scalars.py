@@ -73,9 +73,9 @@ def contains_ci(c: Column, word: str) -> Column:
 
 def name_patterns(label: Column) -> dict[str, Column]:
     return {
-        "ends_with_dash_attempted": label.rlike(r"-\s*Attempted\s*$"),
-        "has_double_space": label.contains("  "),
-        "n_dash_parts": F.size(F.split(label, " - ")).cast("long"),
+        "attempt_suffix": label.rlike(r"-\s*Attempted\s*$"),
+        "double_space": label.contains("  "),
+        "dash_parts": F.size(F.split(label, " - ")).cast("long"),
     }
 
 

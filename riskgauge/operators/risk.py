@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import harmonic, ratio
+from ..functions.scalars import harmonic, ratio, ratio_reason
 
 COUNTS = ("n", "errors", "benign", "attack", "fp", "fn")
 
@@ -92,11 +92,14 @@ def _accepted(extra: list) -> list:
     t = {c: F.col(f"all_{c}") for c in COUNTS}
     k = {c: t[c] - a[c] for c in COUNTS}
     capture, actual = ratio(a["errors"], t["errors"]), ratio(a["n"], t["n"])
+    shares = {
+        "selective_risk": (k["errors"], k["n"]), "error_capture": (a["errors"], t["errors"]), "selective_fpr": (k["fp"], k["benign"]), "selective_fnr": (k["fn"], k["attack"]),
+        "residual_fpr": (k["fp"], t["benign"]), "residual_fnr": (k["fn"], t["attack"]), "benign_coverage": (k["benign"], t["benign"]), "attack_coverage": (k["attack"], t["attack"]),
+    }
     return [
-        *extra, t["n"].alias("n"), a["n"].alias("n_abstained"), k["n"].alias("n_accepted"), actual.alias("actual_rate"), a["errors"].alias("abstained_errors"), k["errors"].alias("accepted_errors"),
-        ratio(k["errors"], k["n"]).alias("selective_risk"), capture.alias("error_capture"), F.when(actual > 0, capture / actual).alias("enrichment"),
-        ratio(k["fp"], k["benign"]).alias("selective_fpr"), ratio(k["fn"], k["attack"]).alias("selective_fnr"), ratio(k["fp"], t["benign"]).alias("residual_fpr"), ratio(k["fn"], t["attack"]).alias("residual_fnr"),
-        ratio(k["benign"], t["benign"]).alias("benign_coverage"), ratio(k["attack"], t["attack"]).alias("attack_coverage"),
+        *extra, t["n"].alias("n"), a["n"].alias("n_abstained"), k["n"].alias("n_accepted"), actual.alias("actual_rate"), ratio(k["n"], t["n"]).alias("coverage"),
+        a["errors"].alias("abstained_errors"), *(k[c].alias(f"accepted_{c}") for c in COUNTS[1:]), *(t[c].alias(f"total_{c}") for c in COUNTS[1:4]),
+        F.when(actual > 0, capture / actual).alias("enrichment"), *(ratio(*s).alias(c) for c, s in shares.items()), *(ratio_reason(s[1]).alias(f"{c}_reason") for c, s in shares.items()),
     ]
 
 
@@ -110,7 +113,7 @@ def budget_metrics(pred: DataFrame, rates: DataFrame, by: list[str] = []) -> Dat
     t = F.col("confidence_threshold")
     return s.select(*_accepted([
         *by, "target_rate", t.alias("confidence_threshold"), F.when(t.isNull(), "confidence_resolution_insufficient").alias("threshold_reason"),
-        (1 - t).alias("band_low"), t.alias("band_high"), ratio(F.col("next_n"), F.col("all_n")).alias("next_tie_rate")]))
+        (F.col("target_rate") - ratio(F.col("abst_n"), F.col("all_n"))).alias("budget_shortfall"), (1 - t).alias("band_low"), t.alias("band_high"), ratio(F.col("next_n"), F.col("all_n")).alias("next_tie_rate")]))
 
 
 def fixed_threshold_metrics(pred: DataFrame, thresholds: DataFrame, by: list[str] = [], low: float = 0.95, high: float = 1.05) -> DataFrame:  # noqa: B006
@@ -179,20 +182,24 @@ def saturation(pred: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
 
 def abstention_summary(pred: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
     """For each ``by`` and budget (a base row with a null threshold included): rows, errors and rates."""
-    x = pred.crossJoin(F.broadcast(thresholds))  # thresholds: a few constants
+    blocks = pred.groupBy(*by, "confidence").agg(F.count("*").alias("rows"), F.count_if(F.col("is_error") == 1).alias("wrong"))
+    x = blocks.crossJoin(F.broadcast(thresholds))  # thresholds: a few constants
     kept = ~F.coalesce(F.col("confidence") <= F.col("threshold"), F.lit(False))
+    total = lambda c, on=F.lit(True): F.sum(F.when(on, F.col(c)).otherwise(0)).cast("long")  # noqa: B008, E731
     s = x.groupBy(*by, "target_rate").agg(
-        F.count("*").alias("n"), F.count_if(kept).alias("n_accepted"), F.count_if(~kept).alias("n_abstained"),
-        F.count_if(kept & (F.col("is_error") == 1)).alias("accepted_errors"), F.count_if(F.col("is_error") == 1).alias("errors"))
+        total("rows").alias("n"), total("rows", kept).alias("n_accepted"), total("rows", ~kept).alias("n_abstained"),
+        total("wrong", kept).alias("accepted_errors"), total("wrong").alias("errors"))
     return s.withColumn("abstention_rate", ratio(F.col("n_abstained"), F.col("n"))).withColumn("accepted_error_rate", ratio(F.col("accepted_errors"), F.col("n_accepted")))
 
 
 def observation_sets(pred: DataFrame, thresholds: DataFrame, group: str, category: str, detailed: str) -> DataFrame:
     """Grouping sets (group) and (group, category), the second for one group only, by budget. No label metrics."""
-    x = pred.crossJoin(F.broadcast(thresholds))  # thresholds: a few constants
+    blocks = pred.groupBy(group, category, "confidence").agg(F.count("*").alias("rows"))
+    x = blocks.crossJoin(F.broadcast(thresholds))  # thresholds: a few constants
     off = F.coalesce(F.col("confidence") <= F.col("threshold"), F.lit(False))
     s = x.groupingSets([["target_rate", group], ["target_rate", group, category]], "target_rate", group, category).agg(
-        F.grouping(category).alias("whole"), F.count("*").alias("n"), F.count_if(off).alias("n_abstained"), F.avg("confidence").alias("mean_confidence"))
+        F.grouping(category).alias("whole"), F.sum("rows").alias("n"), F.sum(F.when(off, F.col("rows")).otherwise(0)).cast("long").alias("n_abstained"),
+        (F.sum(F.col("confidence") * F.col("rows")) / F.sum("rows")).alias("mean_confidence"))
     return s.where((F.col("whole") == 1) | (F.col(group) == detailed)).withColumn("abstention_rate", ratio(F.col("n_abstained"), F.col("n")))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import row_hash, shuffled
 from ..operators import groups, splits
+from ..session import settled
 from .views import GROUPS, KEY, groups_view, read, rounded, rounded_sql
 
 K = ", ".join(KEY)
@@ -61,14 +65,23 @@ def marked_sql(seed: int = 42) -> str:
     return f"(SELECT r.*, t.l_partkey IS NOT NULL AS is_test FROM {GROUPS} r LEFT JOIN {groupsplit_sql(seed)} t ON r.l_partkey = t.l_partkey AND r.l_quantity = t.l_quantity)"
 
 
-SEEDS = (42, 43, 44)
-#: Groups that belong to each seed's test set, by a share of their md5 order: sets to compare.
+SEEDS = (43, 44, 45)
+
+
 def seed_sets(s, d):
-    keys = groups_view(s, d).select(*KEY).distinct()
-    return keys.withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS)))).where(F.md5(F.concat_ws("|", F.col("seed").cast("string"), *(F.col(k).cast("string") for k in KEY))) < "4")
+    """The test groups of each seed's split."""
+    rows = groups_view(s, d)
+    return reduce(DataFrame.unionByName, (splits.group_split(rows, KEY, seed=k).withColumn("seed", F.lit(k)) for k in SEEDS))
+
+
+SEED_SETS = "(" + " UNION ALL ".join(f"SELECT *, {k} AS seed FROM {groupsplit_sql(k)}" for k in SEEDS) + ")"
+
+
+def outer_train(s, d):
+    rows = groups_view(s, d)
+    return rows.join(settled(splits.group_split(rows, KEY)), KEY, "left_anti")
 
 
-SEED_SETS = f"(SELECT {K}, seed FROM (SELECT DISTINCT {K} FROM {GROUPS}), (VALUES (42), (43), (44)) AS v(seed) WHERE md5(concat_ws('|', seed, {key_md5()})) < '4')"
 DAY = 86_400
 
 
@@ -103,7 +116,7 @@ def entries() -> dict:
     per_label = lambda src: f"SELECT *, test_rows / (train_rows + test_rows) AS test_ratio, abs(test_rows / (train_rows + test_rows) - 0.25) AS deviation FROM (SELECT label, count(*) FILTER (NOT is_test) AS train_rows, count(*) FILTER (is_test) AS test_rows FROM {src} GROUP BY label)"
     cross = lambda src: f"SELECT count(*) AS groups, count(*) FILTER (t > 0 AND t < n) AS crossing_groups, sum(t)::BIGINT AS test_rows, (sum(n) - sum(t))::BIGINT AS train_rows FROM (SELECT count(*) FILTER (is_test) AS t, count(*) AS n FROM {src} GROUP BY {K})"
     tcut_sql = f"SELECT * REPLACE (strftime(rep_time, '%Y-%m-%d %H:%M:%S') AS rep_time), split AS original_split FROM {TCUT}"
-    train = f"(SELECT * FROM {GROUPS} WHERE (l_partkey + l_quantity::BIGINT) % 4 <> 0)"
+    train = f"(SELECT * EXCLUDE (is_test) FROM {marked_sql()} WHERE NOT is_test)"
     return {
         "group_label_counts": (lambda s, d: groups.group_labels(gv(s, d), KEY), f"SELECT {K}, label, count(*) AS rows FROM {GROUPS} GROUP BY ALL"),
         "group_summary": (lambda s, d: facts(s, d).drop("days"), f"SELECT * EXCLUDE (days) FROM {FACTS}"),
@@ -115,7 +128,7 @@ def entries() -> dict:
         "conflict_label_distribution": (lambda s, d: groups.conflict_labels(gv(s, d), KEY, facts(s, d)), f"SELECT label, count(*) AS rows FROM {conflict} GROUP BY 1"),
         "conflict_day_combos": (lambda s, d: groups.conflict_day_combinations(facts(s, d)), f"SELECT array_to_string(days, '+') AS days, count(*) AS n_groups, sum(group_size)::BIGINT AS n_rows FROM {FACTS} WHERE n_binary_labels > 1 GROUP BY 1"),
         "top_conflict_groups": (lambda s, d: groups.top_conflicts(facts(s, d), KEY), f"SELECT {K}, group_size, n_labels, benign_rows, attack_rows FROM {FACTS} WHERE n_binary_labels > 1 ORDER BY group_size DESC, l_partkey DESC, l_quantity DESC LIMIT 20"),
-        "conflict_group_sample": (lambda s, d: groups.conflict_sample(gv(s, d), KEY, facts(s, d), per_group=3), f"""SELECT {K}, label, day, id, group_size, rank FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY nth = 1 DESC, label, day, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {K}, label ORDER BY day, id) AS nth FROM {conflict})) WHERE rank <= 3"""),
+        "conflict_group_sample": (lambda s, d: groups.conflict_sample(gv(s, d), KEY, facts(s, d), per_group=20), f"""SELECT {K}, label, day, id, group_size, rank FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY nth = 1 DESC, label, day, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {K}, label ORDER BY day, id) AS nth FROM {conflict})) WHERE rank <= 20"""),
         "label_group_stats": (rs(lambda s, d: groups.label_statistics(gv(s, d), KEY, facts(s, d))), rounded_sql("largest_ratio", f"""SELECT *, largest_group_rows::DOUBLE / rows AS largest_ratio, largest_group_rows <= rows * 0.25 AS feasible FROM (SELECT label, sum(n)::BIGINT AS rows, count(*) AS groups, count(*) FILTER (group_size >= 2) AS duplicate_groups, count(*) FILTER (n_binary_labels > 1) AS conflict_groups, max(n) AS largest_group_rows
             FROM (SELECT {K}, label, count(*) AS n FROM {GROUPS} GROUP BY ALL) JOIN {FACTS} USING ({K}) GROUP BY label)""")),
         "stable_group_ids": (lambda s, d: groups.stable_ids(gv(s, d), KEY, ["day", "id"]), f"SELECT {K}, printf('fg_%010d', row_number() OVER (ORDER BY f.day, f.id) - 1) AS group_id FROM (SELECT {K}, min({{'day': day, 'id': id}}) AS f FROM {GROUPS} GROUP BY {K})"),
@@ -133,7 +146,7 @@ def entries() -> dict:
         "group_stratified_split": (lambda s, d: splits.group_split(gv(s, d), KEY), f"SELECT * FROM {groupsplit_sql()}"),
         "split_per_label": (rs(lambda s, d: splits.per_label(marked(s, d))), rounded_sql("test_ratio deviation", per_label(marked_sql()))),
         "split_crossings": (lambda s, d: splits.crossings(marked(s, d), KEY), cross(marked_sql())),
-        "internal_validation": (rs(lambda s, d: splits.per_label(splits.marked(t := gv(s, d).where((F.col("l_partkey") + F.col("l_quantity").cast("bigint")) % 4 != 0), splits.group_split(t, KEY, seed=1042), KEY))), rounded_sql("test_ratio deviation", per_label(f"(SELECT r.*, t.l_partkey IS NOT NULL AS is_test FROM {train} r LEFT JOIN {groupsplit_sql(1042, train)} t ON r.l_partkey = t.l_partkey AND r.l_quantity = t.l_quantity)"))),
+        "internal_validation": (rs(lambda s, d: splits.per_label(splits.marked(t := outer_train(s, d), splits.group_split(t, KEY, seed=1042), KEY))), rounded_sql("test_ratio deviation", per_label(f"(SELECT r.*, t.l_partkey IS NOT NULL AS is_test FROM {train} r LEFT JOIN {groupsplit_sql(1042, train)} t ON r.l_partkey = t.l_partkey AND r.l_quantity = t.l_quantity)"))),
         "conflict_assignment": (lambda s, d: marked(s, d).join(facts(s, d).where("n_binary_labels > 1").select(*KEY), KEY, "left_semi").groupBy(*KEY, "label", "is_test").agg(F.count("*").alias("rows")).withColumn("split", F.when(F.col("is_test"), "test").otherwise("train")).drop("is_test"),
             f"SELECT {K}, label, CASE WHEN is_test THEN 'test' ELSE 'train' END AS split, count(*) AS rows FROM {marked_sql()} SEMI JOIN (SELECT * FROM {FACTS} WHERE n_binary_labels > 1) USING ({K}) GROUP BY ALL"),
         "conflict_wide_table": (lambda s, d: groups.conflict_table(gv(s, d), KEY, facts(s, d), marked(s, d).select(*KEY, "is_test", F.lit("group").alias("method")).unionByName(rowsplit(s, d).select(*KEY, "is_test", F.lit("row").alias("method"))), ["group", "row"]),

@@ -9,7 +9,7 @@ from .views import BUDGETS, SEEDS, TARGET, pred, pred_sql, rounded, rounded_sql,
 
 P = pred_sql(where=TARGET)
 RATES = "(VALUES " + ", ".join(f"({r}::DOUBLE)" for r in BUDGETS) + ") AS b(target_rate)"
-RATE_COLUMNS = "actual_rate selective_risk error_capture enrichment selective_fpr selective_fnr residual_fpr residual_fnr benign_coverage attack_coverage"
+RATE_COLUMNS = "actual_rate coverage selective_risk error_capture enrichment selective_fpr selective_fnr residual_fpr residual_fnr benign_coverage attack_coverage"
 #: Thresholds that were fixed elsewhere, by target rate.
 FIXED = ((0.01, 0.505), (0.05, 0.52), (0.1, 0.55))
 FIXED_SQL = "(VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in FIXED) + ") AS f(target_rate, threshold)"
@@ -39,7 +39,10 @@ def _metrics(t: str) -> str:
 
 def _final(cols: str) -> str:
     r = _ratio
-    return f"""{cols}, t_n AS n, x_n AS n_abstained, t_n - x_n AS n_accepted, {r('x_n', 't_n')} AS actual_rate, x_e AS abstained_errors, t_e - x_e AS accepted_errors,
+    of = {"selective_risk": "t_n - x_n", "error_capture": "t_e", "selective_fpr": "t_b - x_b", "selective_fnr": "t_a - x_a", "residual_fpr": "t_b", "residual_fnr": "t_a", "benign_coverage": "t_b", "attack_coverage": "t_a"}
+    reasons = ", ".join(f"CASE WHEN {d} = 0 THEN 'zero_denominator' END AS {c}_reason" for c, d in of.items())
+    return f"""{cols}, t_n AS n, x_n AS n_abstained, t_n - x_n AS n_accepted, {r('x_n', 't_n')} AS actual_rate, {r('t_n - x_n', 't_n')} AS coverage, x_e AS abstained_errors, t_e - x_e AS accepted_errors,
+      t_b - x_b AS accepted_benign, t_a - x_a AS accepted_attack, t_fp - x_fp AS accepted_fp, t_fn - x_fn AS accepted_fn, t_b AS total_benign, t_a AS total_attack, t_e AS total_errors, {reasons},
       {r('t_e - x_e', 't_n - x_n')} AS selective_risk, {r('x_e', 't_e')} AS error_capture, CASE WHEN x_n > 0 AND t_e > 0 THEN (x_e::DOUBLE / t_e) / (x_n::DOUBLE / t_n) END AS enrichment,
       {r('t_fp - x_fp', 't_b - x_b')} AS selective_fpr, {r('t_fn - x_fn', 't_a - x_a')} AS selective_fnr, {r('t_fp - x_fp', 't_b')} AS residual_fpr, {r('t_fn - x_fn', 't_a')} AS residual_fnr,
       {r('t_b - x_b', 't_b')} AS benign_coverage, {r('t_a - x_a', 't_a')} AS attack_coverage"""
@@ -51,7 +54,7 @@ def budget_sql(p: str = P, by: str = "") -> str:
     return f"""WITH r AS (SELECT * FROM {p}), c AS (SELECT DISTINCT {b}confidence, count(*) OVER ({part} ORDER BY confidence RANGE UNBOUNDED PRECEDING) AS cum, count(*) OVER ({part}) AS n FROM r),
       z AS (SELECT {b}target_rate, max(CASE WHEN cum <= target_rate * n + 1e-12 THEN confidence END) AS threshold, min(CASE WHEN cum > target_rate * n + 1e-12 THEN cum END)::DOUBLE / max(n) AS next_tie_rate FROM c, {RATES} GROUP BY ALL),
       m AS (SELECT {'z.' + by + ', ' if by else ''}target_rate, threshold, next_tie_rate, {_metrics('r')} FROM r x JOIN z ON true{on} GROUP BY ALL)
-      SELECT {_final(f"{b}target_rate, threshold AS confidence_threshold, CASE WHEN threshold IS NULL THEN 'confidence_resolution_insufficient' END AS threshold_reason, 1 - threshold AS band_low, threshold AS band_high, next_tie_rate")} FROM m"""
+      SELECT {_final(f"{b}target_rate, threshold AS confidence_threshold, CASE WHEN threshold IS NULL THEN 'confidence_resolution_insufficient' END AS threshold_reason, target_rate - x_n::DOUBLE / t_n AS budget_shortfall, 1 - threshold AS band_low, threshold AS band_high, next_tie_rate")} FROM m"""
 
 
 def aurc_sql(p: str = P, by: str = "") -> str:
@@ -115,7 +118,7 @@ def entries() -> dict:
     fixed_sql = lambda p, by: f"""SELECT *, floor(target_rate * n)::BIGINT AS target_rows, n_abstained - floor(target_rate * n)::BIGINT AS row_delta, actual_rate - target_rate AS rate_delta, ({band}) AS within_band FROM (
         SELECT {_final(f"{by}target_rate, threshold")} FROM (SELECT {by}target_rate, threshold, {_metrics('')} FROM {p}, {FIXED_SQL} GROUP BY ALL))"""
     return {
-        "budget_metrics": (rs(lambda s, d: risk.budget_metrics(target(s, d), risk.budgets(s, BUDGETS))), rounded_sql("confidence_threshold band_low band_high next_tie_rate " + RATE_COLUMNS, budget_sql())),
+        "budget_metrics": (rs(lambda s, d: risk.budget_metrics(target(s, d), risk.budgets(s, BUDGETS))), rounded_sql("confidence_threshold band_low band_high next_tie_rate budget_shortfall " + RATE_COLUMNS, budget_sql())),
         "fixed_threshold_metrics": (rs(lambda s, d: risk.fixed_threshold_metrics(target(s, d), thresholds(s))), rounded_sql("rate_delta " + RATE_COLUMNS, fixed_sql(P, ""))),
         "aurc_summary": (rs(lambda s, d: risk.aurc(target(s, d))), rounded_sql(AURC_COLUMNS, aurc_sql())),
         "aurc_by_seed": (rs(lambda s, d: risk.aurc(by_seed(s, d), ["seed"])), rounded_sql(AURC_COLUMNS, aurc_sql(SEEDED, "seed"))),
@@ -159,5 +162,5 @@ def entries() -> dict:
         "risk_coverage_baselines": (rs(lambda s, d: risk.baselines(target(s, d))), rounded_sql(AURC_COLUMNS, aurc_sql(f"""(SELECT m.method AS method, m.c AS confidence, is_error FROM (SELECT is_error, unnest([{{'method': 'max_prob', 'c': confidence::DOUBLE}},
             {{'method': 'entropy', 'c': round(1 - (CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) - (CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END), 4)::DOUBLE}}, {{'method': 'band', 'c': round(abs(p - 0.5) * 2, 4)::DOUBLE}},
             {{'method': 'random', 'c': (('0x' || substr(md5(concat_ws('|', '7', id)), 1, 8))::BIGINT % 1000003) / 1000003.0::DOUBLE}}]) AS m FROM {P}))""", "method"))),
-        "daily_window_budgets": (rs(lambda s, d: risk.budget_metrics(target(s, d).withColumn("day", F.col("day").cast("string")), risk.budgets(s, (0.05, 0.1)), ["day"])), rounded_sql("confidence_threshold band_low band_high next_tie_rate " + RATE_COLUMNS, budget_sql(f"(SELECT * REPLACE (day::VARCHAR AS day) FROM {P})", "day").replace(RATES, "(VALUES (0.05::DOUBLE), (0.1::DOUBLE)) AS b(target_rate)"))),
+        "daily_window_budgets": (rs(lambda s, d: risk.budget_metrics(target(s, d).withColumn("day", F.col("day").cast("string")), risk.budgets(s, (0.05, 0.1)), ["day"])), rounded_sql("confidence_threshold band_low band_high next_tie_rate budget_shortfall " + RATE_COLUMNS, budget_sql(f"(SELECT * REPLACE (day::VARCHAR AS day) FROM {P})", "day").replace(RATES, "(VALUES (0.05::DOUBLE), (0.1::DOUBLE)) AS b(target_rate)"))),
     }

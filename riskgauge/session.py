@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, name: str = "riskgauge", partitions: int | None = None) -> SparkSession:
@@ -18,3 +20,15 @@ def session(master: str | None = None, name: str = "riskgauge", partitions: int
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` from the shared checkpoint folder: plans over it start there. Only a local session may do without the setting."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    return df.checkpoint(True)
