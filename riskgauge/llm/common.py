@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -63,6 +65,16 @@ def one_cache(own: dict) -> None:
     _caches[:] = [own]
 
 
+def trimmed(run):
+    """``run`` of Arrow batches; at its end the worker, which lives on, gives memory that it doesn't use back to the system."""
+    def through(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+    return through
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there, so that lost executors cost one stage at most.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as R
-from .common import one_cache, remainder, ship, table
+from .common import one_cache, remainder, ship, table, trimmed
 
 TRAIN_DOCS, BUCKETS, STEPS, BATCH, LENGTH = 1600, 1 << 15, 200, 48, 40
 #: Words of a block, words handled at once, and emissions that a worker keeps.
@@ -308,7 +308,7 @@ def predict(docs: DataFrame, crf: Crf, keep: list[str], text_col: str = "text")
 
     ship(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
-    return own.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return own.mapInArrow(trimmed(run), f"{kinds}, lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

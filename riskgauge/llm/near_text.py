@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as R
-from .common import components, cut, join_hot, release, table
+from .common import components, cut, join_hot, release, table, trimmed
 
 U = np.uint64
 PERMUTATIONS, BANDS, ROWS = 75, 30, 5
@@ -152,7 +152,7 @@ def _links(percent: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; links are at ``percent`` % similarity or more."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut(own.mapInArrow(_fingerprints, "doc_id long, n_shingles long, class binary, bands array<long>"))
+    prints = cut(own.mapInArrow(trimmed(_fingerprints), "doc_id long, n_shingles long, class binary, bands array<long>"))
     usable = prints.where("n_shingles > 0 and doc_id is not null")
     classes = cut(usable.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")))
     found = class_components(own, classes, percent)
@@ -169,7 +169,7 @@ def class_components(own: DataFrame, classes: DataFrame, percent: int) -> DataFr
     held = cut(join_hot(posted, sizes, "band", "rows"))
     central = held.groupBy("rep").agg(F.sum("size").alias("central"))
     sets = cut(own.join(central.select("rep"), own["doc_id"] == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(
-        _sets, "rep long, s array<long>"))
+        trimmed(_sets), "rep long, s array<long>"))
     hubs = cut(held.join(central, "rep").groupBy("band").agg(
         F.max_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), F.struct("central", -F.col("rep"))).alias("h"), F.count("*").alias("rows")).select("band", "rows", "h.*"))
     pairs = join_hot(held.select("rep", "n", "band"), hubs, "band", "rows").where("rep <> hub")
@@ -232,7 +232,7 @@ def rest_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = on_lo.unionByName(on_hi).join(sets, "rep").select("band", "lo", "hi", "side", "comp", "s")
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["band", "lo", "hi"]
-    links = cut(placed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_links(percent), "a long, b long"))
+    links = cut(placed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(_links(percent)), "a long, b long"))
     release(held, members, meet)
     return links
 

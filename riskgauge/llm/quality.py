@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as R
-from .common import one_cache, remainder, ship, table
+from .common import one_cache, remainder, ship, table, trimmed
 
 TRAIN_DOCS, PAIRS, STEPS, CUT = 6000, 30_000, 400, 0.3
 _groups = {
@@ -146,7 +146,7 @@ def scores(docs: DataFrame, model: Ranker, keep: list[str], text_col: str = "tex
 
     ship(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
-    return own.mapInArrow(run, f"{kinds}, score double")
+    return own.mapInArrow(trimmed(run), f"{kinds}, score double")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
