@@ -65,13 +65,18 @@ def one_cache(own: dict) -> None:
     _caches[:] = [own]
 
 
+def give_back() -> None:
+    """Give memory that this process doesn't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def trimmed(run):
     """``run`` of Arrow batches; at its end the worker, which lives on, gives memory that it doesn't use back to the system."""
     def through(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
-            trim(0)
+        give_back()
     return through
 
 

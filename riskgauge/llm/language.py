@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as R
-from .common import one_cache, remainder, ship, table, trimmed
+from .common import give_back, one_cache, remainder, ship, table, trimmed
 
 TRAIN_DOCS, BUCKETS, STEPS, BATCH, LENGTH = 1600, 1 << 15, 200, 48, 40
 #: Words of a block, words handled at once, and emissions that a worker keeps.
@@ -307,6 +307,7 @@ def predict(docs: DataFrame, crf: Crf, keep: list[str], text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     ship(docs.sparkSession)
+    give_back()  # what training took
     kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
     return own.mapInArrow(trimmed(run), f"{kinds}, lang_pred string, score double")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as R
-from .common import one_cache, remainder, ship, table, trimmed
+from .common import give_back, one_cache, remainder, ship, table, trimmed
 
 TRAIN_DOCS, PAIRS, STEPS, CUT = 6000, 30_000, 400, 0.3
 _groups = {
@@ -145,6 +145,7 @@ def scores(docs: DataFrame, model: Ranker, keep: list[str], text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s)], names=[*keep, "score"])
 
     ship(docs.sparkSession)
+    give_back()  # what training took
     kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
     return own.mapInArrow(trimmed(run), f"{kinds}, score double")
 
