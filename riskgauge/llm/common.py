@@ -17,6 +17,8 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 ARROW_BYTES = "16m"
 #: Keys whose rows are joined by a broadcast table, and the rows that a key must have for that.
 HOT_KEYS, HOT_ROWS = 1024, 100
+#: Edges of a partition between rounds of ``components``, and its least number of partitions.
+PART_EDGES, LEAST_PARTS = 50_000, 16
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -143,22 +145,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Returns (id, component), cut, for every node that has an edge; component is the smallest id reachable.
     A node's neighbours are only ever aggregated with ``min`` (combined before the shuffle) and joined, hubs by
-    broadcast, so no node's neighbourhood is collected. Each round is checkpointed; rounds grow with the logarithm
-    of the longest path.
+    broadcast, so no node's neighbourhood is collected. Each round is checkpointed, in partitions by the number of
+    edges: few edges make few tasks, however many partitions shuffles have. Rounds grow with the logarithm of the
+    longest path.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = lambda: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = state()
     for _ in range(most_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parts = max(LEAST_PARTS, seen[0] // PART_EDGES)
+        few = e.coalesce(parts)
+        both = few.union(few.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         # large star: every larger neighbour is tied to the least of the neighbourhood
-        large = cut(join_hot(both.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = cut(join_hot(both.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(parts))
         # small star: u and its smaller neighbours are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_hot(large, least, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, e = e, cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, cut(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         release(old, large)
         if (now := state()) == seen:
             found = cut(e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
