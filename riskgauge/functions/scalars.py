@@ -58,6 +58,16 @@ def is_infinite(c: Column) -> Column:
     return F.coalesce(c.isin(INF, -INF), F.lit(False))
 
 
+def scaled_round(c: Column, digits: int) -> Column:
+    """c * 10^digits rounded half away from zero, and scaled back: DuckDB's round. Spark's rounds the shortest decimal text, which parts from it at ties."""
+    y = c * 10.0**digits
+    size = F.abs(y)
+    down = F.floor(size).cast("double")
+    whole = F.when(size < 2.0**52, F.signum(y) * (down + F.when(size - down >= 0.5, 1.0).otherwise(0.0))).otherwise(y)
+    out = whole / 10.0**digits
+    return F.when(is_infinite(out) | F.isnan(out), c).otherwise(out)
+
+
 def infinite_to_nan(c: Column) -> Column:
     return F.when(is_infinite(c), F.lit(float("nan"))).otherwise(c)
 

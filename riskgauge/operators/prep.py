@@ -54,16 +54,51 @@ def negative_infinity_flags(rows: DataFrame, cols: list[str], duration: str) ->
     return rows.withColumn("invalid_negative_duration", has & (F.col(duration) < 0)).withColumn("zero_duration", has & (F.col(duration) == 0))
 
 
+def _value_bucket(v: Column) -> Column:
+    """Rises with a finite double: 64 buckets for each power of two, on both sides of zero."""
+    return F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * 64) + 70_000)).cast("long")
+
+
+def _ranked(counts: DataFrame, shares: list[float]) -> DataFrame:
+    """Rows of ``counts`` (column, value, n) in the buckets that hold the ``shares`` quantiles, with ``before`` (smaller values' rows) and ``all_n``.
+
+    Only bucket totals are summed in order over all values; a task sorts the distinct values of one bucket at most.
+    """
+    b = counts.withColumn("bucket", _value_bucket(F.col("value")))
+    whole = Window.partitionBy("k_column")
+    earlier = whole.orderBy("k_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy(F.col("column").alias("k_column"), F.col("bucket").alias("k_bucket")).agg(F.sum("n").alias("s"))
+    sums = sums.withColumns({"off": F.coalesce(F.sum("s").over(earlier), F.lit(0)), "all_n": F.sum("s").over(whole)})
+    at = [(F.col("all_n") - 1) * F.lit(q) for q in shares]
+    held = reduce(lambda x, y: x | y, ((F.floor(p) < F.col("off") + F.col("s")) & (F.ceil(p) >= F.col("off")) for p in at))
+    inside = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    j = b.join(F.broadcast(sums.where(held)), F.col("column").eqNullSafe(F.col("k_column")) & F.col("bucket").eqNullSafe(F.col("k_bucket")))  # a few rows a column; a plain equality would push a filter below the counts, which then run twice
+    return j.select("column", "value", "n", "all_n", (F.sum("n").over(inside) - F.col("n") + F.col("off")).alias("before"))
+
+
+def _between(low: Column, high: Column, part: Column) -> Column:
+    """low * (1 - part) + high * part, the first product not rounded before the sum: DuckDB's quantile_cont to the last bit."""
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), *(F.coalesce(c, F.lit(0.0)) for c in (low, 1.0 - part, high * part))).cast("double")
+    return F.when(part > 0, fused).otherwise(low)
+
+
 def clip_bounds(rows: DataFrame, cols: list[str], train: Column, upper=(0.999, 3.0), lower=(0.001, 3.0)) -> DataFrame:
-    """One row a column: bounds from finite training values, where all rows have such an infinity. One pass."""
+    """One row a column: bounds from finite training values, where all rows have such an infinity. Values are counted first, ranks are exact."""
+    has = rows.agg(*(F.max((F.col(c) == x).cast("int")).alias(f"has_{k}{i}") for i, c in enumerate(cols) for k, x in (("u", INF), ("l", -INF))))
+    each = F.array(*(F.struct(F.lit(c).alias("column"), finite(F.col(c).cast("double")).alias("value")) for c in cols))
+    counts = rows.where(train).select(F.inline(each)).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    shares = {"u": upper[0], "l": lower[0]}
+    found = _ranked(counts, list(shares.values()))
+    of = lambda x, c, *more: F.max(F.when(reduce(lambda a, b: a & b, more, F.col("column") == c), x))
+    hit = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
     aggs = []
-    for c in cols:
-        v = F.when(train, finite(F.col(c)))
-        q = F.percentile(v, F.array(F.lit(upper[0]), F.lit(lower[0])))
-        aggs += [F.max((F.col(c) == INF).cast("int")).alias(f"u_{c}"), F.max((F.col(c) == -INF).cast("int")).alias(f"l_{c}"), q.alias(f"q_{c}")]
-    one = rows.agg(*aggs)
-    each = [F.struct(F.lit(c).alias("column"), F.when(F.col(f"u_{c}") == 1, F.col(f"q_{c}")[0] * upper[1]).alias("upper"), F.when(F.col(f"l_{c}") == 1, F.col(f"q_{c}")[1] * lower[1]).alias("lower")) for c in cols]
-    return one.select(F.inline(F.array(*each)))
+    for i, c in enumerate(cols):
+        for k, q in shares.items():
+            p = (F.col("all_n") - 1) * F.lit(q)
+            aggs += [of(p - F.floor(p), c).alias(f"part_{k}{i}"), of(F.col("value"), c, hit(F.floor(p))).alias(f"lo_{k}{i}"), of(F.col("value"), c, hit(F.ceil(p))).alias(f"hi_{k}{i}")]
+    one = has.crossJoin(F.broadcast(found.agg(*aggs)))  # one row each
+    one = one.select(*(F.when(F.col(f"has_{k}{i}") == 1, _between(F.col(f"lo_{k}{i}"), F.col(f"hi_{k}{i}"), F.col(f"part_{k}{i}")) * times).alias(f"{k}{i}") for i in range(len(cols)) for k, times in (("u", upper[1]), ("l", lower[1]))))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("upper"), F.col(f"l{i}").alias("lower")) for i, c in enumerate(cols)))))
 
 
 def apply_clip(rows: DataFrame, bounds: DataFrame, cols: list[str], invalid: str | None = None) -> DataFrame:
